@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import best_record, canonical_map, charset, exact_copies, oracle
+from rosterloom.llm import best_record, canonical_map, charset, exact_copies, leakage, oracle, truncation
 from rosterloom.session import table
 
 
@@ -43,8 +43,20 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical_map.mapped_rows(spark, rows, table(spark, d, "role_catalog"), table(spark, d, "role_aliases"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_documents(table(spark, d, "documents"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_survivors, p3_found, p3_repaired, p5_found, p5_collapsed, p7_found)
+    found = (p1_found, p1_survivors, p3_found, p3_repaired, p5_found, p5_collapsed, p7_found, p9_found, p10_found, p10_rates)
     return {f.__name__: f for f in found}
 
 
