@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import best_record, canonical_map, charset, exact_copies, leakage, oracle, truncation
+from rosterloom.llm import best_record, canonical_map, charset, exact_copies, leakage, main_content, oracle, truncation
 from rosterloom.session import table
 
 
@@ -43,6 +43,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical_map.mapped_rows(spark, rows, table(spark, d, "role_catalog"), table(spark, d, "role_aliases"))
 
 
+def _page_records(spark: SparkSession, d: str) -> DataFrame:
+    pages = main_content.records(table(spark, d, "acquired_pages"), "acquired_pages", "page_id", "url", "visible_text")
+    return pages.unionByName(main_content.records(table(spark, d, "fetched_extractions"), "fetched_extractions", "extraction_id", "url", "text"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_content.body_lines(_page_records(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_content.residues(_page_records(spark, d)).select("src", "rec_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -56,7 +69,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_survivors, p3_found, p3_repaired, p5_found, p5_collapsed, p7_found, p9_found, p10_found, p10_rates)
+    found = (p1_found, p1_survivors, p2_found, p6_found, p3_found, p3_repaired, p5_found, p5_collapsed, p7_found, p9_found, p10_found, p10_rates)
     return {f.__name__: f for f in found}
 
 
