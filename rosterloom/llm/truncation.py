@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PREFIX = 32
+TAIL = 120
 
 _ELLIPSIS = r"[\s\[(]*(?:…|\.{3,}|\[…\]|\[\.{3,}\]?)[\s\])]*$"
 #: An ellipsis that stands apart from the last word replaces what was cut; one in place of the full stop does not.
@@ -49,27 +50,29 @@ def ending_key(piece: Column) -> Column:
 
     Of a list item, which is found in fewer places, the last two words.
     """
-    bare = F.regexp_replace(F.regexp_replace(piece, _LIST, ""), r"[\s\p{P}]+$", "")
+    # three words fit into the closing characters; the rest of a long piece needn't be scanned for them
+    bare = F.regexp_replace(F.regexp_replace(F.substring(piece, -TAIL, TAIL), _LIST, ""), r"[\s\p{P}]+$", "")
     tail = F.regexp_extract(F.concat(F.lit("^ ^ "), bare), r"(\S+\s+\S+\s+\S+)$", 1)
     tail = F.regexp_replace(tail, r"(?<=[\s^])\S*\d\S*", "#")
     masked = F.regexp_replace(F.regexp_replace(tail, r"(?<!\S)[\p{P}]*\p{Lu}[^\s]*", "N"), r"\s+", " ")
     return F.when(piece.rlike(_LIST), F.regexp_replace(masked, r"^\S+ ", "")).otherwise(masked)
 
 
-def ending_keys(piece: Column) -> Column:
-    """The keys under which an ending is known: of two and of three words."""
-    key = ending_key(piece)
-    return F.array_distinct(F.array(key, F.regexp_extract(key, r"(\S+ \S+)$", 1)))
-
-
 def known_endings(df: DataFrame, least: int = 2) -> DataFrame:
-    """Endings of complete sentences and of lines that another line follows, seen in at least ``least`` distinct texts."""
-    inner = df.select(F.xxhash64("text").alias("h"), F.explode(F.split("text", r"\n|(?<=(?:\D|\d{3})[.!?…])\s+")).alias("piece"), F.length("text").alias("len"), "text")
-    closed = inner.select("h", "piece", F.when(F.col("text").endswith(F.col("piece")) & ~F.col("piece").rlike(_CLOSED), True).otherwise(False).alias("open")).filter("not open and trim(piece) <> ''")
-    own = df.select(F.xxhash64("text").alias("h"), last_line(F.col("text")).alias("piece")).filter(~F.col("piece").rlike(_ELLIPSIS) & (F.length("piece") <= 60))
-    ends = closed.select(F.explode(ending_keys(F.col("piece"))).alias("ending"), "h").unionByName(own.select(F.explode(ending_keys(F.col("piece"))).alias("ending"), "h"))
+    """Endings of complete sentences and of lines that another line follows, seen in at least ``least`` distinct texts.
+
+    Each is known under its last three words and under its last two.
+    """
+    pieces = df.select(F.xxhash64("text").alias("h"), F.split("text", r"\n|(?<=(?:\D|\d{3})[.!?…])\s+").alias("pieces"))
+    last = F.element_at("pieces", -1)
+    # the last piece of a text counts if it is closed, or short as items and signatures are
+    counts = last.rlike(_CLOSED) | ((F.length(last) <= 60) & ~last.rlike(_ELLIPSIS))
+    kept = pieces.select("h", F.explode(F.when(counts, F.col("pieces")).otherwise(F.slice("pieces", 1, F.greatest(F.size("pieces") - 1, F.lit(0))))).alias("piece"))
+    ends = kept.filter("trim(piece) <> ''").select("h", ending_key(F.col("piece")).alias("ending"))
     # two distinct texts are enough, and the smallest and largest hash show them with map-side combining
-    return ends.groupBy("ending").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b" if least > 1 else "true").select("ending")
+    once = ends.groupBy("ending").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    both = once.select(F.explode(F.array_distinct(F.array("ending", F.regexp_extract("ending", r"(\S+ \S+)$", 1)))).alias("ending"), "a", "b")
+    return both.groupBy("ending").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b" if least > 1 else "true").select("ending")
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
