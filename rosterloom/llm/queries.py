@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import best_record, canonical_map, charset, exact_copies, leakage, main_content, oracle, truncation
+from rosterloom.llm import best_record, canonical_map, charset, exact_copies, leakage, main_content, name_link, oracle, truncation
 from rosterloom.session import table
 
 
@@ -29,6 +29,10 @@ def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
     return contacts.unionByName(charset.damaged_values(table(spark, d, "ranked_contacts"), "ranked_id", ["title"], "ranked_contacts"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_link.variant_pairs(table(spark, d, "contacts"), table(spark, d, "ranked_contacts"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return exact_copies.copies(table(spark, d, "contacts"), "contact_id", ["name"], ["email", "page_url"])
 
@@ -69,7 +73,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_survivors, p2_found, p6_found, p3_found, p3_repaired, p5_found, p5_collapsed, p7_found, p9_found, p10_found, p10_rates)
+    found = (p1_found, p1_survivors, p2_found, p6_found, p3_found, p3_repaired, p4_found, p5_found, p5_collapsed, p7_found, p9_found, p10_found, p10_rates)
     return {f.__name__: f for f in found}
 
 
