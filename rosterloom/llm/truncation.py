@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PREFIX = 32
-TAIL = 120
+#: White space and invisible characters that may stand after a text.
+_BLANKS = " \n\r\t\f\v\u00a0\u00ad\u200b\u200c\u200d\u2028\u2029\u202f\u3000\ufeff"
+TAIL, LINE = 120, 240
 
 _ELLIPSIS = r"[\s\[(]*(?:…|\.{3,}|\[…\]|\[\.{3,}\]?)[\s\])]*$"
 #: An ellipsis that stands apart from the last word replaces what was cut; one in place of the full stop does not.
@@ -42,7 +44,7 @@ _SIGNED = r"^\s*[—–―]\s*\p{Lu}"
 
 
 def last_line(text: Column) -> Column:
-    return F.substring_index(F.rtrim(F.regexp_replace(text, r"(?U)\s+$", "")), "\n", -1)
+    return F.substring_index(F.rtrim(text, F.lit(_BLANKS)), "\n", -1)
 
 
 def ending_key(piece: Column) -> Column:
@@ -52,7 +54,7 @@ def ending_key(piece: Column) -> Column:
     """
     # three words fit into the closing characters; the rest of a long piece needn't be scanned for them
     bare = F.regexp_replace(F.regexp_replace(F.substring(piece, -TAIL, TAIL), _LIST, ""), r"[\s\p{P}]+$", "")
-    tail = F.regexp_extract(F.concat(F.lit("^ ^ "), bare), r"(\S+\s+\S+\s+\S+)$", 1)
+    tail = F.regexp_extract(F.concat(F.lit("^ ^ "), bare), r"((?<!\S)\S++\s++\S++\s++\S++)$", 1)
     tail = F.regexp_replace(tail, r"(?<=[\s^])\S*\d\S*", "#")
     masked = F.regexp_replace(F.regexp_replace(tail, r"(?<!\S)[\p{P}]*\p{Lu}[^\s]*", "N"), r"\s+", " ")
     return F.when(piece.rlike(_LIST), F.regexp_replace(masked, r"^\S+ ", "")).otherwise(masked)
@@ -63,12 +65,12 @@ def known_endings(df: DataFrame, least: int = 2) -> DataFrame:
 
     Each is known under its last three words and under its last two.
     """
-    pieces = df.select(F.xxhash64("text").alias("h"), F.split("text", r"\n|(?<=(?:\D|\d{3})[.!?…])\s+").alias("pieces"))
+    pieces = df.select(F.xxhash64("text").alias("h"), F.split(F.regexp_replace("text", r"(\D[.!?…]|\d{3}[.!?…])[ \t]+", "$1\n"), "\n").alias("pieces"))
     last = F.element_at("pieces", -1)
     # the last piece of a text counts if it is closed, or short as items and signatures are
     counts = last.rlike(_CLOSED) | ((F.length(last) <= 60) & ~last.rlike(_ELLIPSIS))
     kept = pieces.select("h", F.explode(F.when(counts, F.col("pieces")).otherwise(F.slice("pieces", 1, F.greatest(F.size("pieces") - 1, F.lit(0))))).alias("piece"))
-    ends = kept.filter("trim(piece) <> ''").select("h", ending_key(F.col("piece")).alias("ending"))
+    ends = kept.filter("trim(piece) <> ''").filter(~F.substring("piece", -4, 4).rlike(r"(?<!\d)\d{1,2}\.$")).select("h", ending_key(F.col("piece")).alias("ending"))
     # two distinct texts are enough, and the smallest and largest hash show them with map-side combining
     once = ends.groupBy("ending").agg(F.min("h").alias("a"), F.max("h").alias("b"))
     both = once.select(F.explode(F.array_distinct(F.array("ending", F.regexp_extract("ending", r"(\S+ \S+)$", 1)))).alias("ending"), "a", "b")
@@ -111,11 +113,13 @@ def judged(documents: DataFrame, limit_share: float = 0.01, limit_texts: int = 3
     per = lengths.groupBy("source").agg(F.max(F.struct("len", "texts")).alias("top"), F.sum("texts").alias("all"))
     limits = per.filter((F.col("top.texts") >= limit_texts) & (F.col("top.texts") >= limit_share * F.col("all"))).select(F.col("source").alias("s"), F.col("top.len").alias("limit"))
 
-    last = last_line(F.col("text"))
+    last = F.col("last")
     ellipsis = last.rlike(_ELLIPSIS)
     bare = F.regexp_replace(last, _ELLIPSIS, "")
     closed = F.col("bare").rlike(_CLOSED) & ~F.col("bare").rlike(_ABBREVIATED)
-    ends = rows.select("doc_id", "source", "h", "len", last.alias("last"), ellipsis.alias("ellipsis"), bare.alias("bare"))
+    # the last line, of a long one its closing part: what is asked of it is how it ends and whether it is short
+    lines = rows.select("doc_id", "source", "h", "len", F.substring(last_line(F.col("text")), -LINE, LINE).alias("last"))
+    ends = lines.select("doc_id", "source", "h", "len", "last", ellipsis.alias("ellipsis"), bare.alias("bare"))
     ends = ends.withColumn("words", F.size(F.split(F.trim("bare"), r"\s+"))).withColumn(
         "kind",
         F.when(F.trim("last") == "", "empty").when(closed, "closed").when(F.col("bare").rlike(_CONTACT) & ~F.col("ellipsis"), "contact").when(F.col("bare").rlike(_SIGNED) & ~F.col("ellipsis"), "signed")
