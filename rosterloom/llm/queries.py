@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import best_record, canonical_map, charset, exact_copies, leakage, main_content, name_link, oracle, truncation
+from rosterloom.llm import best_record, canonical_map, charset, exact_copies, leakage, main_content, name_link, oracle, packing, truncation
 from rosterloom.session import table
 
 
@@ -60,6 +60,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return main_content.residues(_page_records(spark, d)).select("src", "rec_id")
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.assigned(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p8_usage(spark: SparkSession, d: str) -> DataFrame:
+    return packing.usage(p8_packed(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -73,7 +81,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_survivors, p2_found, p6_found, p3_found, p3_repaired, p4_found, p5_found, p5_collapsed, p7_found, p9_found, p10_found, p10_rates)
+    found = (p1_found, p1_survivors, p2_found, p6_found, p3_found, p3_repaired, p4_found, p5_found, p5_collapsed, p7_found, p8_packed, p8_usage, p9_found, p10_found, p10_rates)
     return {f.__name__: f for f in found}
 
 
