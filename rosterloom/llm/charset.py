@@ -39,6 +39,8 @@ ALONE_NEVER = frozenset("Ððñûãõâêîïëÿþýß")
 SUSPECT = r"[^\x00-\x7F]|\p{L}\?\p{L}"
 _LOST = re.compile(r"�|(?<=[^\W\d_])\?(?=[^\W\d_])")
 _MAX_LAYERS = 4
+#: A round trip must lower the cost by so much, so text of a lower cost needs none.
+_LEAST_DROP = 0.25
 
 
 @lru_cache(maxsize=8192)
@@ -140,12 +142,14 @@ def _round_trips(text: str):
 def _whole(text: str) -> str | None:
     """The best accepted round trip of a text, None if none lowers the cost enough."""
     was, best = cost(text), None
+    if was < _LEAST_DROP:
+        return None
     for other, structural in _round_trips(text):
         if other == text or "�" in other:
             continue
         now = cost(other)
         drop = was - now
-        if drop >= (0.25 if structural and len(other) < len(text) else max(1.2, 0.6 * was)) and (best is None or (now - 0.5 * structural) < best[0]):
+        if drop >= (_LEAST_DROP if structural and len(other) < len(text) else max(1.2, 0.6 * was)) and (best is None or (now - 0.5 * structural) < best[0]):
             best = (now - 0.5 * structural, other)
     return None if best is None else best[1]
 

@@ -55,8 +55,8 @@ _OFFICE_STOP = frozenset("of for the and in at de des la le".split())
 _OFFICE_FORM = {form: base for base, forms in OFFICE_WORDS.items() for form in [base, *forms.split()]}
 _SHORT = {form: base for base, forms in SHORT_FORMS.items() for form in forms.split()}
 
-FORM = T.StructType([T.StructField(n, t) for n, t in (
-    ("id", T.LongType()), ("inst", T.StringType()), ("seen", T.LongType()), ("kind", T.StringType()), ("s", T.StringType()), ("g", T.StringType()), ("i", T.StringType()), ("mail", T.StringType()), ("sure", T.BooleanType()))])
+MENTION = T.StructType([T.StructField(n, t) for n, t in (("id", T.LongType()), ("inst", T.LongType()), ("seen", T.LongType()), ("form", T.StringType()), ("box", T.LongType()), ("local", T.StringType()))])
+PARSED = T.StructType([T.StructField(n, T.StringType()) for n in ("form", "kind", "s", "g", "i")])
 
 
 @lru_cache(maxsize=100_000)
@@ -75,140 +75,178 @@ def near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if la > lb else a[i:] == b[i + 1 :]
 
 
+def left_out(word: str) -> list[str]:
+    """The word, and the word with each letter left out: words one edit or swap apart share one of these."""
+    return [word, *(word[:k] + word[k + 1 :] for k in range(len(word)))]
+
+
+class Near:
+    """Finds the words of a list that are equal to a word or one edit or swap apart."""
+
+    def __init__(self, known, least: int = 4):
+        self.exact, self.index, self.memo = set(known), {}, {}
+        for w in known:
+            if len(w) >= least:
+                for v in left_out(w):
+                    self.index.setdefault(v, set()).add(w)
+
+    def find(self, word: str) -> list[str]:
+        if word in self.exact:
+            return [word]
+        if word not in self.memo:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            close = set().union(*(self.index.get(v, ()) for v in left_out(word))) if len(word) > 3 else ()
+            self.memo[word] = sorted(w for w in close if near(word, w))
+        return self.memo[word]
+
+
+_OFFICE_NEAR = Near(_OFFICE_FORM, least=5)
+_MAIL_JUNK = re.compile("[\\s<>,;\"'()\\[\\]\u200b-\u200f\u00ad\ufeff]+")
+_MAIL = re.compile(r"[^@]+@[^@]+\.[^@]+")
+
+
 def mail_key(email: str | None) -> str:
-    bare = re.sub(r"[\s<>,;\"'()\[\]​-‏­﻿]+", "", (email or "").casefold()).removeprefix("mailto:").strip(".:")
-    return bare if re.fullmatch(r"[^@]+@[^@]+\.[^@]+", bare) else ""
+    bare = _MAIL_JUNK.sub("", (email or "").casefold()).removeprefix("mailto:").strip(".:")
+    return bare if _MAIL.fullmatch(bare) else ""
+
+
+def office_word(token: str) -> str | None:
+    """The office word that a folded token is a form or a misspelling of."""
+    if token in _OFFICE_FORM:
+        return _OFFICE_FORM[token]
+    close = _OFFICE_NEAR.find(token) if len(token) > 4 else ()
+    return _OFFICE_FORM[close[0]] if close else None
 
 
 def office(tokens: list[str]) -> tuple[str, str] | None:
     """(office words, campus) if the folded words name an office."""
-    rest = [t for t in tokens if t not in _OFFICE_STOP]
-    campus = ""
-    if "campus" in rest:
-        at = rest.index("campus")
-        unknown = [t for t in rest if t not in _OFFICE_FORM and t != "campus"]
-        campus = rest[at - 1] if at and rest[at - 1] not in _OFFICE_FORM else unknown[-1] if unknown else ""
-        rest = [t for t in rest if t not in ("campus", campus)]
-    known = [_OFFICE_FORM.get(t) or next((base for base in OFFICE_WORDS if len(t) > 4 and near(t, base)), None) or next((base for form, base in _OFFICE_FORM.items() if len(t) > 5 and len(form) > 4 and near(t, form)), t) for t in rest]
-    if len(known) < 2 or not any(k in _OFFICE_NOUNS for k in known) or sum(k in OFFICE_WORDS for k in known) < len(known) - 1:
+    known = [office_word(t) for t in tokens]
+    if not any(k in _OFFICE_NOUNS for k in known if k):
+        return None
+    rest = [(t, k) for t, k in zip(tokens, known) if t not in _OFFICE_STOP]
+    campus, at = "", next((n for n, (t, _) in enumerate(rest) if t == "campus"), None)
+    if at is not None:
+        unknown = [t for t, k in rest if k is None and t != "campus"]
+        campus = rest[at - 1][0] if at and rest[at - 1][1] is None else unknown[-1] if unknown else ""
+        rest = [(t, k) for t, k in rest if t not in ("campus", campus)]
+    names = [k or t for t, k in rest]
+    if len(names) < 2 or sum(k is not None for _, k in rest) < len(rest) - 1:
         return None
-    return " ".join(sorted(set(known))), campus
+    return " ".join(sorted(set(names))), campus
 
 
-def person(name: str, given_names: frozenset[str]) -> tuple[str, str, str]:
-    """(surname, given name, initial) as folded words; '' where there is none."""
-    head, comma, tail = name.partition(",")
-    split = lambda part: [fold(w) for w in words(part.replace(".", " "))]
-    left, right = split(head), split(tail) if comma else []
+def person(form: str, given_names: Near) -> tuple[str, str, str]:
+    """(surname, given name, initial) of folded words, a comma between surname and given name; '' where there is none."""
+    head, comma, tail = form.partition(",")
+    left, right = head.split(), tail.split()
     if comma and left and right:
-        given, family = right, left
-        full = [t for t in given if len(t) > 1 and t not in TITLES]
+        full = [t for t in right if len(t) > 1 and t not in TITLES]
+        family = [t for t in left if t not in TITLES]
         if full and all(len(t) == 1 for t in family):  # "P., Surname"
-            return full[0], "", family[0]
-        family = [t for t in family if len(t) > 1 and t not in TITLES]
-        initial = next((t for t in given if len(t) == 1), "")
-        return family[0] if family else "", full[0] if full else "", (full[0][0] if full else initial)
+            return full[0], "", family[0] if family else ""
+        family = [t for t in family if len(t) > 1]
+        initial = next((t for t in right if len(t) == 1), "")
+        return family[0] if family else "", full[0] if full else "", full[0][0] if full else initial
     tokens = left + right
     plain = [t for t in tokens if t not in TITLES or (len(tokens) < 3 and len(t) > 3)]
     full, initials = [t for t in plain if len(t) > 1], [t for t in tokens if len(t) == 1]
     if not full:
         return "", "", ""
-    at = next((k for k, t in enumerate(full) if t in given_names), None)
+    at = next((k for k, t in enumerate(full) if t in given_names.exact), None)
     if at is None:
         at = next((k for k, t in enumerate(full) if t in _SHORT), None)
     if at is None and len(full) > 1:
-        at = next((k for k, t in enumerate(full) if len(t) > 3 and any(near(t, g) for g in given_names)), None)
+        at = next((k for k, t in enumerate(full) if given_names.find(t)), None)
     if at is None:
-        if initials and (len(full) == 1 or not given_names):
+        if initials and (len(full) == 1 or not given_names.exact):
             return full[0], "", initials[0]
         at = 0 if len(full) > 1 else None
-    if at is None:
-        return full[0], "", ""
-    rest = full[:at] + full[at + 1 :]
+    rest = [] if at is None else full[:at] + full[at + 1 :]
     if not rest:
-        return (full[at], "", initials[0]) if initials else (full[at], "", "")
+        return full[0], "", initials[0] if initials else ""
     return rest[0], full[at], full[at][0]
 
 
-def canonical_given(given: str, given_names: frozenset[str], forms: dict[str, str]) -> str:
-    """The established name that a given name is a spelling or a form of; itself if there is none or more than one."""
-    if given in forms:
-        return forms[given]
-    if given in given_names or not given:
-        return _SHORT.get(given, given) if _SHORT.get(given, "") in given_names else given
-    if given in _SHORT:
+def canonical_given(given: str, given_names: Near) -> str:
+    """The established name that a given name is a spelling or a short form of; itself if there is none or more than one."""
+    if given in _SHORT and (_SHORT[given] in given_names.exact or given not in given_names.exact):
         return _SHORT[given]
-    close = [g for g in given_names if len(g) > 3 and near(given, g)]
-    return forms.get(close[0], close[0]) if len(close) == 1 else given
+    close = given_names.find(given) if given else []
+    return close[0] if len(close) == 1 else given
 
 
 def _letters(text: str) -> str:
     return re.sub(r"[^a-z]", "", fold(text))
 
 
-def _parser(given_names: frozenset[str], forms: dict[str, str]):
-    def parse(name: str, email: str | None) -> tuple | None:
-        tokens = [fold(w) for w in words(name)]
-        found = office(tokens)
-        mail = mail_key(email)
-        if found:
-            return "o", found[0], found[1], "", mail, False
-        surname, given, initial = person(name, given_names)
-        if not surname:
-            return None
-        local = _letters(mail.partition("@")[0])
-        g = canonical_given(given, given_names, forms)
-        if g and g not in given_names and local:
-            told = [x for x in given_names if len(x) > 2 and x in local and near(given, x)]
-            g = told[0] if len(told) == 1 else g
-        return "p", surname, g, initial, mail, bool(local) and len(surname) > 3 and _letters(surname) in local
+def folded_form(name: str) -> str:
+    """Folded words of a name with its first comma kept, where there is something on both sides."""
+    head, comma, tail = name.partition(",")
+    left = " ".join(fold(w) for w in words(head.replace(".", " ")))
+    right = " ".join(fold(w) for w in words(tail.replace(".", " "))) if comma else ""
+    return f"{left},{right}" if left and right else left or right
+
+
+def _hash(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\n".join(parts)) - (1 << 63)
 
+
+def _mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        cols: dict[str, list] = {n: [] for n in MENTION.names}
+        memo: dict[str, tuple | None] = {}
+        for rec, inst, name, email in zip(batch["id"], batch["inst"], batch["name"], batch["email"]):
+            if name not in memo:
+                seen = "" if charset.repair(name)[0] else squeezed(name)
+                memo[name] = (_hash(seen), folded_form(name)) if seen else None
+            if memo[name] is None:
+                continue
+            mail = mail_key(email)
+            for column, value in zip(cols.values(), (rec, _hash(inst), *memo[name], _hash(inst, mail) if mail else None, _letters(mail.partition("@")[0]) if mail else "")):
+                column.append(value)
+        yield pd.DataFrame({n: pd.array(v, dtype="Int64") if n == "box" else v for n, v in cols.items()}, columns=MENTION.names)
+
+
+def _parser(established: frozenset[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        given_names = Near(established)
         for batch in batches:
             rows = []
-            for rec, inst, name, email in batch[["id", "inst", "name", "email"]].itertuples(index=False):
-                if charset.repair(name)[0]:
+            for form in batch["form"]:
+                found = office(form.replace(",", " ").split())
+                if found:
+                    rows.append((form, "o", found[0], found[1], ""))
                     continue
-                seen = squeezed(name)
-                parsed = parse(name, email) if seen else None
-                if parsed:
-                    kind, s, g, i, mail, sure = parsed
-                    rows.append((rec, inst, xxhash.xxh64_intdigest(seen) - (1 << 63), kind, s, g, i, mail, sure))
-            yield pd.DataFrame(rows, columns=FORM.names)
+                surname, given, initial = person(form, given_names)
+                if surname:
+                    g = canonical_given(given, given_names)
+                    rows.append((form, "p", surname, g, "" if g else initial))
+            yield pd.DataFrame(rows, columns=PARSED.names)
 
     return run
 
 
-def _first_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = set()
-        for inst, name in batch[["inst", "name"]].itertuples(index=False):
-            tokens = [fold(w) for w in words(name)]
-            if len(tokens) == 2 and "," not in name and len(tokens[0]) > 1 and not office(tokens) and tokens[0] not in TITLES and not charset.repair(name)[0]:
-                rows.add((inst, tokens[0]))
-        yield pd.DataFrame(list(rows), columns=["inst", "token"])
-
-
-def established_names(rows: DataFrame, share: float = 0.01, least: int = 3) -> frozenset[str]:
-    """Words that stand first in names of at least ``share`` of all institutions.
+def established_names(forms: DataFrame, share: float = 0.01, least: int = 3) -> frozenset[str]:
+    """Words that stand first in two-word names of at least ``share`` of all institutions.
 
     At most (words per institution) / ``share`` words can do so, whatever the number of rows: a small set.
     """
-    first = rows.select("inst", "name").mapInPandas(_first_words, "inst string, token string").distinct()
-    total = rows.select("inst").distinct().count()
-    found = first.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= max(least, share * total))
-    return frozenset(r["token"] for r in found.collect())
+    total = forms.agg(F.approx_count_distinct("inst", 0.01)).first()[0]
+    two = forms.filter(F.col("form").rlike("^[^ ,]{2,} [^ ,]{2,}$")).select("inst", F.substring_index("form", " ", 1).alias("token"))
+    found = two.groupBy("token").agg(F.approx_count_distinct("inst", 0.02).alias("n")).filter(F.col("n") >= max(least, share * total))
+    return frozenset(r["token"] for r in found.collect() if r["token"] not in TITLES and office_word(r["token"]) is None)
 
 
 def learned_forms(forms: DataFrame, given_names: frozenset[str], least: int = 3) -> dict[str, str]:
     """Given names that stand for an established one on shared mailboxes of at least ``least`` institutions."""
-    one = forms.filter("kind = 'p' and mail <> '' and length(g) > 1").select("inst", "mail", "s", "g").distinct()
-    pairs = one.join(one.select("inst", "mail", "s", F.col("g").alias("other")), ["inst", "mail", "s"]).filter("g <> other and levenshtein(g, other) > 1")
+    one = forms.filter("kind = 'p' and box is not null and length(g) > 1").select("inst", "box", "s", "g").distinct()
+    known = F.col("g").isin(sorted(given_names)) if given_names else F.lit(False)
+    pairs = one.filter(~known).join(one.filter(known).select("box", "s", F.col("g").alias("other")), ["box", "s"])
     counted = pairs.groupBy("g", "other").agg(F.countDistinct("inst").alias("n")).filter(F.col("n") >= least)
     found: dict[str, set] = {}
     for r in counted.collect():  # as many as there are short forms of established names
-        if r["other"] in given_names and r["g"] not in given_names:
-            found.setdefault(r["g"], set()).add(r["other"])
+        found.setdefault(r["g"], set()).add(r["other"])
     return {g: next(iter(full)) for g, full in found.items() if len(full) == 1}
 
 
@@ -216,72 +254,70 @@ def _variants(col: str) -> str:
     return f"case when length({col}) < 5 then array({col}) else array_distinct(concat(array({col}), transform(sequence(1, length({col})), k -> concat(substring({col}, 1, k - 1), substring({col}, k + 1))))) end"
 
 
-_SWAP = "(length(a.s) = length(b.s) and levenshtein(a.s, b.s) = 2 and array_sort(split(a.s, '')) = array_sort(split(b.s, '')))"
+_CLOSE = """exists(a.ss, x -> exists(b.ss, y -> x = y or (length(x) > 4 and length(y) > 4 and not (size(a.sures) > 0 and size(b.sures) > 0 and not arrays_overlap(a.sures, b.sures))
+  and (levenshtein(x, y) <= 1 or (length(x) = length(y) and levenshtein(x, y) = 2 and array_sort(split(x, '')) = array_sort(split(y, '')))))))"""
 
 
 def resolve(forms: DataFrame, max_rounds: int = 12) -> DataFrame:
-    """(node, label) of every form that belongs to a merged record; ``forms`` has node, inst, kind, s, g, i, mail, sure."""
+    """(node, label) of every form in a merged record; ``forms`` has node, inst, kind, s, g, i, box, sure."""
     spark = forms.sparkSession
-    nodes = cut_lineage(forms.groupBy("node", "inst", "kind", "s", "g", "i").agg(F.max("sure").alias("sure")))
-    box = forms.filter("mail <> ''").select("node", F.xxhash64("inst", "kind", F.when(F.col("kind") == "o", F.col("g")).otherwise(F.lit("")), "mail").alias("box")).distinct()
-    edges = cut_lineage(box.join(box.groupBy("box").agg(F.min("node").alias("b")), "box").select(F.col("node").alias("a"), "b").filter("a <> b"))
-    labels = components(edges)
-    changed = None
-    people = nodes.filter("kind = 'p'")
+    box = forms.filter("box is not null").select("node", F.xxhash64("kind", F.when(F.col("kind") == "o", F.col("g")).otherwise(F.lit("")), "box").alias("box")).distinct()
+    shared = box.groupBy("box").agg(F.min("node").alias("b"), F.max("node").alias("z")).filter("b <> z").select("box", "b")
+    labels = components(box.join(shared, "box").select(F.col("node").alias("a"), "b").filter("a <> b"))
+    people = cut_lineage(forms.filter("kind = 'p'").groupBy("node", "inst", "s", "g", "i").agg(F.max("sure").alias("sure")))
     for _ in range(max_rounds):
         named = people.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named.createOrReplaceTempView("rl_named_forms")
-        record = cut_lineage(spark.sql("""
-          select inst, label, collect_set(s) ss, collect_set(case when g <> '' then g end) gs, collect_set(case when g = '' and i <> '' then i end) bare, collect_set(case when g <> '' then left(g, 1) end) heads, collect_set(case when sure then s end) sures
-          from rl_named_forms group by inst, label"""))
+        record = cut_lineage(named.groupBy("label", "inst").agg(
+            F.collect_set("s").alias("ss"), F.collect_set(F.nullif("g", F.lit(""))).alias("gs"), F.collect_set(F.nullif("i", F.lit(""))).alias("bare"),
+            F.collect_set(F.left(F.nullif(F.col("g"), F.lit("")), F.lit(1))).alias("heads"), F.collect_set(F.when(F.col("sure"), F.col("s"))).alias("sures")))
         record.createOrReplaceTempView("rl_records")
-        grown = record if changed is None else record.join(changed, "label", "left_semi")
-        grown.createOrReplaceTempView("rl_grown")
-        spark.sql(f"create or replace temp view rl_keys as select *, explode({_variants('s')}) block from (select inst, label, explode(ss) s, gs, bare, heads, sures from rl_records)")
-        spark.sql(f"create or replace temp view rl_grown_keys as select *, explode({_variants('s')}) block from (select inst, label, explode(ss) s, gs, bare, heads, sures from rl_grown)")
-        pairs = spark.sql(f"""
-          select distinct a.label a, b.label b, arrays_overlap(a.gs, b.gs) same, (size(a.gs) = 0 and size(b.gs) = 0 and arrays_overlap(a.bare, b.bare)) both_bare, size(a.gs) = 0 a_bare, size(b.gs) = 0 b_bare
-          from rl_grown_keys a join rl_keys b on a.inst = b.inst and a.block = b.block and a.label <> b.label
-          where (arrays_overlap(a.gs, b.gs) or (size(a.gs) = 0 and size(b.gs) = 0 and arrays_overlap(a.bare, b.bare)) or (size(a.gs) = 0 and size(b.gs) > 0 and arrays_overlap(a.bare, b.heads)) or (size(b.gs) = 0 and size(a.gs) > 0 and arrays_overlap(b.bare, a.heads)))
-            and (a.s = b.s or (length(a.s) > 4 and length(b.s) > 4 and not (size(a.sures) > 0 and size(b.sures) > 0 and not arrays_overlap(a.sures, b.sures)) and (levenshtein(a.s, b.s) <= 1 or {_SWAP})))
-        """)
-        pairs = cut_lineage(pairs)
-        certain = pairs.filter("same or both_bare").select("a", "b")
-        # an initial fits a record only if it fits no other record
-        lone = pairs.filter("not same and not both_bare").select(F.when(F.col("a_bare"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.col("a_bare"), F.col("b")).otherwise(F.col("a")).alias("y"))
-        settled = certain.limit(1).count() == 0
-        fits = lone.groupBy("x").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        fresh = cut_lineage(fits if settled else certain)
+        # a block: institution, spelling with at most one letter left out, first letter of the given name
+        spark.sql(f"""create or replace temp view rl_keys as select label, xxhash64(inst, head, v) block
+          from (select label, inst, head, explode({_variants('s')}) v from (select label, inst, s, explode(array_union(heads, bare)) head from (select label, inst, heads, bare, explode(ss) s from rl_records)))""")
+        spark.sql("create or replace temp view rl_blocks as select block from rl_keys group by block having min(label) <> max(label)")
+        spark.sql("create or replace temp view rl_members as select distinct label, block from rl_keys left semi join rl_blocks using (block)")
+        near = cut_lineage(spark.sql("select distinct a.label a, b.label b from rl_members a join rl_members b on a.block = b.block and a.label < b.label"))
+        near.createOrReplaceTempView("rl_near")
+        pairs = cut_lineage(spark.sql(f"""
+          select a.label a, b.label b, arrays_overlap(a.gs, b.gs) or (size(a.gs) = 0 and size(b.gs) = 0) same, size(a.gs) = 0 a_bare from rl_near n join rl_records a on n.a = a.label join rl_records b on n.b = b.label
+          where (arrays_overlap(a.gs, b.gs) or (size(a.gs) = 0 and arrays_overlap(a.bare, array_union(b.heads, b.bare))) or (size(b.gs) = 0 and arrays_overlap(b.bare, array_union(a.heads, a.bare)))) and {_CLOSE}"""))
+        fresh = pairs.filter("same").select("a", "b")
         if fresh.limit(1).count() == 0:
-            break
+            # an initial fits a record only if it fits no other record; asked when the full names have settled
+            lone = pairs.select(F.when(F.col("a_bare"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.col("a_bare"), F.col("b")).otherwise(F.col("a")).alias("y"))
+            fresh = lone.groupBy("x").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            if fresh.limit(1).count() == 0:
+                break
         merged = components(fresh)
-        known = people.unionByName(nodes.filter("kind = 'o'")).select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        known = people.select("node").unionByName(labels.select("node")).distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         joined = known.join(merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
-        labels = cut_lineage(joined.select("node", F.coalesce("top", "label").alias("label")))
-        # while initials wait for the full names to settle, all records stay open
-        changed = merged.select("label").distinct() if settled else None
+        labels = cut_lineage(joined.select("node", F.coalesce("top", "label").alias("label")).filter("node <> label or top is not null"))
     return labels
 
 
-def mentions(contacts: DataFrame, ranked: DataFrame) -> DataFrame:
-    part = lambda df, key: df.select(F.col(key).cast("bigint").alias("id"), F.col("institution_id").alias("inst"), F.col("name").cast("string").alias("name"), F.col("email").cast("string").alias("email"))
+def rows_of(contacts: DataFrame, ranked: DataFrame) -> DataFrame:
+    part = lambda df, key: df.select(F.col(key).cast("bigint").alias("id"), F.col("institution_id").cast("string").alias("inst"), F.col("name").cast("string").alias("name"), F.col("email").cast("string").alias("email"))
     return part(contacts, "contact_id").unionByName(part(ranked, "ranked_id")).filter("id is not null and inst is not null and trim(name) <> ''")
 
 
 def linked(rows: DataFrame) -> DataFrame:
     """(id, seen, entity): the entity of every row with a usable name; ``seen`` is the spelling without formatting."""
-    names = established_names(rows)
-    plain = rows.mapInPandas(_parser(names, {}), FORM)
-    forms = learned_forms(plain, names)
-    parsed = cut_lineage(rows.mapInPandas(_parser(names, forms), FORM).withColumn("node", F.xxhash64("inst", "kind", "s", "g", F.when(F.col("g") == "", F.col("i")).otherwise(F.lit("")))))
-    nodes = parsed.withColumn("i", F.when(F.col("g") == "", F.col("i")).otherwise(F.lit("")))
-    labels = resolve(nodes)
-    return parsed.select("id", "seen", "node").join(labels, "node", "left").select("id", "seen", F.coalesce("label", "node").alias("entity"))
+    mentions = cut_lineage(rows.mapInPandas(_mentions, MENTION))
+    names = established_names(mentions)
+    parsed = cut_lineage(mentions.select("form").distinct().mapInPandas(_parser(names), PARSED))
+    forms = mentions.join(parsed, "form").withColumn("sure", F.col("kind").eqNullSafe("p") & (F.length("s") > 3) & F.contains("local", F.col("s"))).drop("form", "local")
+    short = learned_forms(forms, names)
+    if short:
+        swap = F.create_map(*[F.lit(x) for pair in short.items() for x in pair])
+        forms = forms.withColumn("g", F.when(F.col("kind") == "p", F.coalesce(F.try_element_at(swap, F.col("g")), F.col("g"))).otherwise(F.col("g")))
+    forms = cut_lineage(forms.withColumn("node", F.xxhash64("inst", "kind", "s", "g", "i")))
+    labels = resolve(forms)
+    return forms.select("id", "seen", "node").join(labels, "node", "left").select("id", "seen", F.coalesce("label", "node").alias("entity"))
 
 
 def variant_pairs(contacts: DataFrame, ranked: DataFrame) -> DataFrame:
     """(id_a, id_b): each pair of rows of one entity whose spellings differ."""
-    rows = cut_lineage(linked(mentions(contacts, ranked)))
+    rows = cut_lineage(linked(rows_of(contacts, ranked)))
     several = rows.groupBy("entity").agg(F.min("seen").alias("a"), F.max("seen").alias("b")).filter("a <> b").select("entity")
     rows = rows.join(several, "entity", "left_semi")
     left, right = rows.select("entity", F.col("id").alias("id_a"), F.col("seen").alias("seen_a")), rows.select("entity", F.col("id").alias("id_b"), F.col("seen").alias("seen_b"))
