@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterloom.plans import matching, reports, scalars, views
+from rosterloom.plans import matching, ranking, reports, scalars, views
 
-_ALL = views.QUERIES | reports.QUERIES | scalars.QUERIES | matching.QUERIES
+_ALL = views.QUERIES | reports.QUERIES | scalars.QUERIES | matching.QUERIES | ranking.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
