@@ -142,11 +142,12 @@ def _round_trips(text: str):
 def _whole(text: str) -> str | None:
     """The best accepted round trip of a text, None if none lowers the cost enough."""
     was, best = cost(text), None
+    foreign = sum(ch > "\x7f" for ch in text)
     if was < _LEAST_DROP:
         return None
     for other, structural in _round_trips(text):
-        if other == text or "�" in other:
-            continue
+        if other == text or "�" in other or (not structural and was < 0.2 * foreign):
+            continue  # letters that cost as little as usual ones do don't ask for another code page
         now = cost(other)
         drop = was - now
         if drop >= (_LEAST_DROP if structural and len(other) < len(text) else max(1.2, 0.6 * was)) and (best is None or (now - 0.5 * structural) < best[0]):
