@@ -133,8 +133,10 @@ def judged(documents: DataFrame, limit_share: float = 0.01, limit_texts: int = 3
     out = ends.join(known, "ending", "left").join(longer, "h", "left").join(limits, ends["source"].eqNullSafe(F.col("s")), "left")
     at_limit = F.coalesce(F.col("len") == F.col("limit"), F.lit(False)) & ~F.col("kind").isin("closed", "empty")
     open_end = (F.col("kind") == "prose") | ((F.col("kind") == "ask") & F.col("known").isNull())
-    out = out.select("doc_id", "source", F.coalesce("longer_copy", F.lit(False)).alias("longer_copy"), at_limit.alias("at_limit"), open_end.alias("open_end"), "kind")
-    return out.withColumn("cut", F.col("at_limit") | F.col("open_end") | (F.col("longer_copy") & ~F.col("kind").isin("closed", "contact", "signed", "empty")))
+    out = out.select("doc_id", "source", F.coalesce("longer_copy", F.lit(False)).alias("longer_copy"), at_limit.alias("at_limit"), open_end.alias("open_end"), "kind", ((F.col("kind") == "ask") & ~F.col("bare").rlike(_LIST) & ~F.col("ellipsis") & ~F.startswith("ending", F.lit("^"))).alias("begun"))
+    # a short last line of prose has the length of a signature; at the limit of its source it is a sentence just begun
+    begun = F.col("at_limit") & F.coalesce(F.col("begun"), F.lit(False))
+    return out.withColumn("cut", F.col("open_end") | begun | (F.col("longer_copy") & ~F.col("kind").isin("closed", "contact", "signed", "empty")))
 
 
 def cut_documents(documents: DataFrame) -> DataFrame:
