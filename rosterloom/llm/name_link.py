@@ -180,14 +180,25 @@ def _letters(text: str) -> str:
     return re.sub(r"[^a-z]", "", fold(text))
 
 
+_OTHER = re.compile("[^a-z0-9]+")
+
+
 def folded_form(name: str) -> str:
     """Folded words of a name with its first comma kept, where there is something on both sides."""
-    head, comma, tail = name.partition(",")
-    left = " ".join(fold(w) for w in words(head.replace(".", " ")))
-    right = " ".join(fold(w) for w in words(tail.replace(".", " "))) if comma else ""
+    if "," not in name:
+        if name.isascii():
+            return " ".join(_OTHER.sub(" ", name.lower().replace("'", "").replace("`", "")).split())
+        return " ".join(fold(w) for w in words(name.replace(".", " ")))
+    head, _, tail = name.partition(",")
+    left, right = folded_form(head), folded_form(tail.replace(",", " "))
     return f"{left},{right}" if left and right else left or right
 
 
+def spelling(name: str) -> str:
+    """A name without case, white space, punctuation, invisible characters and Unicode form; order counts."""
+    return _OTHER.sub("", name.lower()) if name.isascii() else squeezed(name)
+
+
 def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\n".join(parts)) - (1 << 63)
 
@@ -198,7 +209,7 @@ def _mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, tuple | None] = {}
         for rec, inst, name, email in zip(batch["id"], batch["inst"], batch["name"], batch["email"]):
             if name not in memo:
-                seen = "" if charset.repair(name)[0] else squeezed(name)
+                seen = "" if charset.repair(name)[0] else spelling(name)
                 memo[name] = (_hash(seen), folded_form(name)) if seen else None
             if memo[name] is None:
                 continue
@@ -265,30 +276,43 @@ def resolve(forms: DataFrame, max_rounds: int = 12) -> DataFrame:
     shared = box.groupBy("box").agg(F.min("node").alias("b"), F.max("node").alias("z")).filter("b <> z").select("box", "b")
     labels = components(box.join(shared, "box").select(F.col("node").alias("a"), "b").filter("a <> b"))
     people = cut_lineage(forms.filter("kind = 'p'").groupBy("node", "inst", "s", "g", "i").agg(F.max("sure").alias("sure")))
+    active: str | None = None  # which records ask in a round: all, those that grew, or those with an initial only
     for _ in range(max_rounds):
         named = people.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         record = cut_lineage(named.groupBy("label", "inst").agg(
             F.collect_set("s").alias("ss"), F.collect_set(F.nullif("g", F.lit(""))).alias("gs"), F.collect_set(F.nullif("i", F.lit(""))).alias("bare"),
             F.collect_set(F.left(F.nullif(F.col("g"), F.lit("")), F.lit(1))).alias("heads"), F.collect_set(F.when(F.col("sure"), F.col("s"))).alias("sures")))
         record.createOrReplaceTempView("rl_records")
+        keys = lambda table: f"""select label, xxhash64(inst, head, v) block from (select label, inst, head, explode({_variants('s')}) v
+          from (select label, inst, s, explode(array_union(heads, bare)) head from (select label, inst, heads, bare, explode(ss) s from {table})))"""
         # a block: institution, spelling with at most one letter left out, first letter of the given name
-        spark.sql(f"""create or replace temp view rl_keys as select label, xxhash64(inst, head, v) block
-          from (select label, inst, head, explode({_variants('s')}) v from (select label, inst, s, explode(array_union(heads, bare)) head from (select label, inst, heads, bare, explode(ss) s from rl_records)))""")
-        spark.sql("create or replace temp view rl_blocks as select block from rl_keys group by block having min(label) <> max(label)")
-        spark.sql("create or replace temp view rl_members as select distinct label, block from rl_keys left semi join rl_blocks using (block)")
-        near = cut_lineage(spark.sql("select distinct a.label a, b.label b from rl_members a join rl_members b on a.block = b.block and a.label < b.label"))
-        near.createOrReplaceTempView("rl_near")
+        if active is None:
+            cut_lineage(spark.sql(keys("rl_records"))).createOrReplaceTempView("rl_keys")
+            spark.sql("create or replace temp view rl_blocks as select block from rl_keys group by block having min(label) <> max(label)")
+            spark.sql("create or replace temp view rl_members as select label, block from rl_keys left semi join rl_blocks using (block)")
+            near = spark.sql("select distinct a.label a, b.label b from rl_members a join rl_members b on a.block = b.block and a.label < b.label")
+        else:
+            asking = record.filter("size(gs) = 0") if active == "bare" else record.join(grown, "label", "left_semi")
+            cut_lineage(asking).createOrReplaceTempView("rl_asking")
+            near = spark.sql(f"select distinct least(a.label, b.label) a, greatest(a.label, b.label) b from ({keys('rl_asking')}) a join ({keys('rl_records')}) b on a.block = b.block and a.label <> b.label")
+        cut_lineage(near).createOrReplaceTempView("rl_near")
         pairs = cut_lineage(spark.sql(f"""
           select a.label a, b.label b, arrays_overlap(a.gs, b.gs) or (size(a.gs) = 0 and size(b.gs) = 0) same, size(a.gs) = 0 a_bare from rl_near n join rl_records a on n.a = a.label join rl_records b on n.b = b.label
           where (arrays_overlap(a.gs, b.gs) or (size(a.gs) = 0 and arrays_overlap(a.bare, array_union(b.heads, b.bare))) or (size(b.gs) = 0 and arrays_overlap(b.bare, array_union(a.heads, a.bare)))) and {_CLOSE}"""))
         fresh = pairs.filter("same").select("a", "b")
-        if fresh.limit(1).count() == 0:
+        if active == "bare":
             # an initial fits a record only if it fits no other record; asked when the full names have settled
-            lone = pairs.select(F.when(F.col("a_bare"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.col("a_bare"), F.col("b")).otherwise(F.col("a")).alias("y"))
-            fresh = lone.groupBy("x").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select(F.col("x").alias("a"), F.col("y").alias("b"))
-            if fresh.limit(1).count() == 0:
+            lone = pairs.filter("not same").select(F.when(F.col("a_bare"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.col("a_bare"), F.col("b")).otherwise(F.col("a")).alias("y"))
+            fits = lone.groupBy("x").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            fresh = fresh.unionByName(fits)
+        if fresh.limit(1).count() == 0:
+            if active == "bare":
                 break
+            active = "bare"
+            continue
         merged = components(fresh)
+        grown = merged.select("label").distinct()
+        active = "grown"
         known = people.select("node").unionByName(labels.select("node")).distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         joined = known.join(merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
         labels = cut_lineage(joined.select("node", F.coalesce("top", "label").alias("label")).filter("node <> label or top is not null"))
