@@ -269,54 +269,77 @@ _CLOSE = """exists(a.ss, x -> exists(b.ss, y -> x = y or (length(x) > 4 and leng
   and (levenshtein(x, y) <= 1 or (length(x) = length(y) and levenshtein(x, y) = 2 and array_sort(split(x, '')) = array_sort(split(y, '')))))))"""
 
 
-def resolve(forms: DataFrame, max_rounds: int = 12) -> DataFrame:
+def _keys(table: str) -> str:
+    """(label, block) of records. A block: institution, spelling with at most one letter left out, first letter of the given name."""
+    return f"""select label, xxhash64(inst, head, v) block from (select label, inst, head, explode({_variants('s')}) v
+      from (select label, inst, s, explode(array_union(heads, bare)) head from (select label, inst, heads, bare, explode(ss) s from {table})))"""
+
+
+_LISTS = ("ss", "gs", "bare", "heads", "sures")
+
+
+def resolve(forms: DataFrame, max_rounds: int = 20) -> DataFrame:
     """(node, label) of every form in a merged record; ``forms`` has node, inst, kind, s, g, i, box, sure."""
     spark = forms.sparkSession
     box = forms.filter("box is not null").select("node", F.xxhash64("kind", F.when(F.col("kind") == "o", F.col("g")).otherwise(F.lit("")), "box").alias("box")).distinct()
     shared = box.groupBy("box").agg(F.min("node").alias("b"), F.max("node").alias("z")).filter("b <> z").select("box", "b")
     labels = components(box.join(shared, "box").select(F.col("node").alias("a"), "b").filter("a <> b"))
-    people = cut_lineage(forms.filter("kind = 'p'").groupBy("node", "inst", "s", "g", "i").agg(F.max("sure").alias("sure")))
-    active: str | None = None  # which records ask in a round: all, those that grew, or those with an initial only
+    people = forms.filter("kind = 'p'").groupBy("node", "inst", "s", "g", "i").agg(F.max("sure").alias("sure"))
+    named = people.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    record = cut_lineage(named.groupBy("label", "inst").agg(
+        F.collect_set("s").alias("ss"), F.collect_set(F.nullif("g", F.lit(""))).alias("gs"), F.collect_set(F.nullif("i", F.lit(""))).alias("bare"),
+        F.collect_set(F.left(F.nullif(F.col("g"), F.lit("")), F.lit(1))).alias("heads"), F.collect_set(F.when(F.col("sure"), F.col("s"))).alias("sures")))
+    record.createOrReplaceTempView("rl_records")
+    keys = cut_lineage(spark.sql(_keys("rl_records")))
+    tops = None  # where first labels have gone: (node, label)
+    ask = "all"  # which records ask in a round: all, those that grew, or those with an initial only
     for _ in range(max_rounds):
-        named = people.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        record = cut_lineage(named.groupBy("label", "inst").agg(
-            F.collect_set("s").alias("ss"), F.collect_set(F.nullif("g", F.lit(""))).alias("gs"), F.collect_set(F.nullif("i", F.lit(""))).alias("bare"),
-            F.collect_set(F.left(F.nullif(F.col("g"), F.lit("")), F.lit(1))).alias("heads"), F.collect_set(F.when(F.col("sure"), F.col("s"))).alias("sures")))
         record.createOrReplaceTempView("rl_records")
-        keys = lambda table: f"""select label, xxhash64(inst, head, v) block from (select label, inst, head, explode({_variants('s')}) v
-          from (select label, inst, s, explode(array_union(heads, bare)) head from (select label, inst, heads, bare, explode(ss) s from {table})))"""
-        # a block: institution, spelling with at most one letter left out, first letter of the given name
-        if active is None:
-            cut_lineage(spark.sql(keys("rl_records"))).createOrReplaceTempView("rl_keys")
-            spark.sql("create or replace temp view rl_blocks as select block from rl_keys group by block having min(label) <> max(label)")
-            spark.sql("create or replace temp view rl_members as select label, block from rl_keys left semi join rl_blocks using (block)")
-            near = spark.sql("select distinct a.label a, b.label b from rl_members a join rl_members b on a.block = b.block and a.label < b.label")
+        if ask == "all":
+            # most blocks that hold more than one record hold two: those need no join
+            sizes = keys.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).filter("a <> b")
+            sizes = cut_lineage(sizes)
+            members = keys.join(sizes.filter("n > 2").select("block"), "block", "left_semi").distinct()
+            members = cut_lineage(members)
+            more = members.select("block", F.col("label").alias("a")).join(members.select("block", F.col("label").alias("b")), "block").filter("a < b")
+            near = sizes.filter("n = 2").select("a", "b").unionByName(more.select("a", "b")).distinct()
         else:
-            asking = record.filter("size(gs) = 0") if active == "bare" else record.join(grown, "label", "left_semi")
+            asking = record.filter("size(gs) = 0") if ask == "bare" else record.join(grown, "label", "left_semi")
             cut_lineage(asking).createOrReplaceTempView("rl_asking")
-            near = spark.sql(f"select distinct least(a.label, b.label) a, greatest(a.label, b.label) b from ({keys('rl_asking')}) a join ({keys('rl_records')}) b on a.block = b.block and a.label <> b.label")
+            # spellings and initials of records that grew are combined anew, those of the others are as they were
+            now = keys if tops is None else keys.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select(F.coalesce("top", "label").alias("label"), "block")
+            now.createOrReplaceTempView("rl_keys")
+            near = spark.sql(f"select distinct least(a.label, b.label) a, greatest(a.label, b.label) b from ({_keys('rl_asking')}) a join rl_keys b on a.block = b.block and a.label <> b.label")
         cut_lineage(near).createOrReplaceTempView("rl_near")
         pairs = cut_lineage(spark.sql(f"""
           select a.label a, b.label b, arrays_overlap(a.gs, b.gs) or (size(a.gs) = 0 and size(b.gs) = 0) same, size(a.gs) = 0 a_bare from rl_near n join rl_records a on n.a = a.label join rl_records b on n.b = b.label
           where (arrays_overlap(a.gs, b.gs) or (size(a.gs) = 0 and arrays_overlap(a.bare, array_union(b.heads, b.bare))) or (size(b.gs) = 0 and arrays_overlap(b.bare, array_union(a.heads, a.bare)))) and {_CLOSE}"""))
         fresh = pairs.filter("same").select("a", "b")
-        if active == "bare":
+        if ask == "bare":
             # an initial fits a record only if it fits no other record; asked when the full names have settled
             lone = pairs.filter("not same").select(F.when(F.col("a_bare"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.col("a_bare"), F.col("b")).otherwise(F.col("a")).alias("y"))
             fits = lone.groupBy("x").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select(F.col("x").alias("a"), F.col("y").alias("b"))
             fresh = fresh.unionByName(fits)
         if fresh.limit(1).count() == 0:
-            if active == "bare":
+            if ask == "bare":
                 break
-            active = "bare"
+            ask = "bare"
             continue
         merged = components(fresh)
-        grown = merged.select("label").distinct()
-        active = "grown"
-        known = people.select("node").unionByName(labels.select("node")).distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        joined = known.join(merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
-        labels = cut_lineage(joined.select("node", F.coalesce("top", "label").alias("label")).filter("node <> label or top is not null"))
-    return labels
+        grown, ask = merged.select("label").distinct(), "grown"
+        moved = merged.filter("node <> label")
+        united = record.join(merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label").groupBy(F.col("top").alias("label"), "inst").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in _LISTS])
+        record = cut_lineage(record.join(merged.select(F.col("node").alias("label")), "label", "left_anti").unionByName(united))
+        if tops is None:
+            tops = cut_lineage(moved)
+        else:
+            step = moved.select(F.col("node").alias("label"), F.col("label").alias("top"))
+            tops = cut_lineage(tops.join(step, "label", "left").select("node", F.coalesce("top", "label").alias("label")).unionByName(moved))
+    if tops is None:
+        return labels
+    step = tops.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    own = labels.join(step, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return own.unionByName(tops.join(labels.select("node"), "node", "left_anti"))
 
 
 def rows_of(contacts: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -342,7 +365,13 @@ def linked(rows: DataFrame) -> DataFrame:
 def variant_pairs(contacts: DataFrame, ranked: DataFrame) -> DataFrame:
     """(id_a, id_b): each pair of rows of one entity whose spellings differ."""
     rows = cut_lineage(linked(rows_of(contacts, ranked)))
-    several = rows.groupBy("entity").agg(F.min("seen").alias("a"), F.max("seen").alias("b")).filter("a <> b").select("entity")
+    # spellings are paired first, then rows: an entity of many equally spelt rows makes no pairs to throw away
+    spellings = rows.select("entity", "seen").distinct()
+    several = spellings.groupBy("entity").agg(F.count("*").alias("n")).filter("n > 1").select("entity")
+    spellings = cut_lineage(spellings.join(several, "entity", "left_semi"))
+    pairs = spellings.withColumnRenamed("seen", "seen_a").join(spellings.withColumnRenamed("seen", "seen_b"), "entity").filter("seen_a < seen_b")
     rows = rows.join(several, "entity", "left_semi")
-    left, right = rows.select("entity", F.col("id").alias("id_a"), F.col("seen").alias("seen_a")), rows.select("entity", F.col("id").alias("id_b"), F.col("seen").alias("seen_b"))
-    return left.join(right, "entity").filter("id_a < id_b and seen_a <> seen_b").select("id_a", "id_b")
+    left = rows.select("entity", F.col("seen").alias("seen_a"), F.col("id").alias("a"))
+    right = rows.select("entity", F.col("seen").alias("seen_b"), F.col("id").alias("b"))
+    found = pairs.join(left, ["entity", "seen_a"]).join(right, ["entity", "seen_b"])
+    return found.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
