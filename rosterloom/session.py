@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +58,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: nothing to do where their path has it, else send it along once."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or id(context) in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp()  # of the driver only: Spark copies the archive to its executors, until the end
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/rosterloom", "zip", root, "rosterloom"))
+    _SHIPPED.add(id(context))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
