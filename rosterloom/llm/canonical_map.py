@@ -43,7 +43,7 @@ _TO = "aaaaaaaaacccdeeeeeeeegiiiiiilnnnoooooooorrssssttuuuuuuuyyzzzdd"
 
 def norm_sql(col: str) -> str:
     """Lower case, accents gone, 'co-' joined, apostrophes and elisions split off; words between single blanks."""
-    folded = f"translate(replace(replace(replace(lower(replace({col}, '\ufffd', '0')), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae'), '{_FROM}', '{_TO}')"
+    folded = f"translate(replace(replace(replace(lower(replace(regexp_replace({col}, '(?i)\\\\b([ld])\ufffd(?=\ufffd)', '$1 '), '\ufffd', '0')), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae'), '{_FROM}', '{_TO}')"
     bare = f"regexp_replace(regexp_replace({folded}, '[\\\\u0300-\\\\u036f\\\\u200b-\\\\u200f\\\\u00ad\\\\ufeff]', ''), '\\\\bco[- ]+(?=ord)', 'co')"
     clipped = f"regexp_replace({bare}, '(?<=[a-z])[’\\'´`](?=[tls]\\\\b)', '')"
     return f"trim(regexp_replace({clipped}, '[^a-z0-9]+', ' '))"
@@ -64,7 +64,8 @@ def map_values(spark: SparkSession, values: DataFrame, catalog: DataFrame, alias
     aliases.createOrReplaceTempView("rl_aliases")
     values.createOrReplaceTempView("rl_values")
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS.split())
-    edits = "case when length({w}) < 4 then 0 when length({w}) < 8 then 1 else 2 end"
+    # segments a typed word is looked up by: one more than the edits that may spoil them, a swap across a border counting two
+    edits = "case when length({w}) < 4 then 0 when length({w}) < 6 then 1 when length({w}) < 7 then 2 else 3 end"
     spark.sql(f"""
       create or replace temp view rl_named as
       select role_id, 'en' lang, {norm_sql("canonical_role")} name from rl_catalog
@@ -121,20 +122,25 @@ def map_values(spark: SparkSession, values: DataFrame, catalog: DataFrame, alias
       union
       select tok, length(tok), 0, 0, tok from rl_typed
     """)
-    spark.sql("""
+    # letters that only one of two words has, repeats counted: a swap leaves none, a changed letter two
+    odd = "aggregate(array_union(split(tok, ''), split(ref, '')), 0, (n, c) -> n + abs((length(tok) - length(replace(tok, c, ''))) - (length(ref) - length(replace(ref, c, '')))))"
+    spark.sql(f"""
       create or replace temp view rl_matched as
-      select tok, w, min(d) d from (
-        select p.tok, r.w, case when p.tok = s.ref then 0 when length(p.tok) = length(s.ref) and array_sort(split(p.tok, '')) = array_sort(split(s.ref, '')) and levenshtein(p.tok, s.ref) = 2 then 1 else levenshtein(p.tok, s.ref) end d, s.k
-        from rl_probes p join rl_segments s on p.len = s.len and p.k = s.k and p.i = s.i and p.seg = s.seg
-        join rl_ref_words r on r.ref = s.ref)
-      where d <= k group by tok, w
+      select tok, w, min(case when tok = ref then 0 when d = 2 and odd = 0 then 1 else d end) d from (
+        select *, {odd} odd from (
+          select distinct p.tok, r.w, s.ref, s.k, levenshtein(p.tok, s.ref) d
+          from rl_probes p join rl_segments s on p.len = s.len and p.k = s.k and p.i = s.i and p.seg = s.seg
+          join rl_ref_words r on r.ref = s.ref)
+        where d <= 4)
+      where d <= least(k, 2) and (d < 2 or length(ref) >= 6 or odd = 0) or (k >= 2 and d = 3 and odd <= 2) or (k >= 2 and d <= 4 and odd = 0)
+      group by tok, w
     """)
-    # Four-letter words: a swap of neighbours moves both halves; their letters as a multiset are the intact segment.
+    # Swaps alone move every segment of a short word; the sorted letters are what stays intact.
     spark.sql("""
       create or replace temp view rl_swapped as
       select t.tok, r.w, 1 d from (select tok, array_join(array_sort(split(tok, '')), '') bag from rl_typed where length(tok) > 3) t
       join (select distinct ref, w, array_join(array_sort(split(ref, '')), '') bag from rl_ref_words where length(ref) > 3) r using (bag)
-      where levenshtein(t.tok, r.ref) = 2
+      where levenshtein(t.tok, r.ref) <= if(length(r.ref) < 6, 2, 4)
     """)
     _kept(spark, "rl_matched")
     spark.sql("""
