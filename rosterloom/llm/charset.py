@@ -84,6 +84,8 @@ def cost(text: str) -> float:
                 total += 0.5
             elif kind == "O":
                 total += 0.3 if kind_before in "Op" else 0
+            elif ch == "—" and before.isalpha() and text[i + 1 : i + 2].isalpha():
+                total += 1.6
             elif ch in "’‘“”–—…" and kind_before in "LC" and before >= "\x80" and run:
                 total += 0.4
             if kind == "C" and ch in "ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐ":
