@@ -80,42 +80,45 @@ def pieces(sizes: DataFrame, containers: DataFrame) -> DataFrame:
 
 def pack(sizes: list[tuple[int, int]], capacity: int, max_segments: int, max_loss: int) -> list[int]:
     """The container number of every item (tokens, loss tokens), by the greatest dot product with the remaining room."""
-    by_tokens: dict[int, dict[int, list[int]]] = {}
+    by_tokens: dict[int, list[tuple[int, int]]] = {}
     for i, (tokens, loss) in enumerate(sizes):
-        by_tokens.setdefault(tokens, {}).setdefault(loss, []).append(i)
+        by_tokens.setdefault(tokens, []).append((loss, i))
+    for group in by_tokens.values():
+        group.sort()  # of items of equal tokens only the one of most loss tokens that fit can be the best
     order = sorted(by_tokens)
-    where, number = [-1] * len(sizes), 0
-    left = len(sizes)
+    where, number, left = [-1] * len(sizes), 0, len(sizes)
+    unit, loss_unit = 1 / capacity**2, 1 / max_loss**2
     while left:
         room, segments, loss_room = capacity, max_segments, max_loss
         while segments and order:
             at = bisect_right(order, room) - 1
-            best = None
-            # sizes from large to small: once the token part alone can't reach the best product, the rest can't either
+            best, chosen, place = -1.0, -1, 0
+            a, b = room * unit, loss_room * loss_unit
+            # sizes from large to small: once the tokens alone can't reach the best product, the rest can't either
             while at >= 0:
                 tokens = order[at]
-                bound = tokens * room / capacity**2 + min(tokens, loss_room) * loss_room / max_loss**2
-                if best is not None and bound <= best[0]:
+                if tokens * a + min(tokens, loss_room) * b <= best:
                     break
-                for loss in by_tokens[tokens]:
-                    if loss <= loss_room:
-                        # a size that closes the container exactly is worth more than any product
-                        product = tokens * room / capacity**2 + loss * loss_room / max_loss**2 + (4.0 if tokens == room else 0.0)
-                        if best is None or product > best[0]:
-                            best = (product, tokens, loss)
+                group = by_tokens[tokens]
+                k = len(group) - 1 if group[-1][0] <= loss_room else bisect_right(group, (loss_room, left + len(sizes))) - 1
+                if k >= 0:
+                    product = tokens * a + group[k][0] * b
+                    if tokens == room:  # closes the container exactly: worth more than any product
+                        chosen, place = tokens, k
+                        break
+                    if product > best:
+                        best, chosen, place = product, tokens, k
                 at -= 1
-            if best is None:
+            if chosen < 0:
                 break
-            _, tokens, loss = best
-            group = by_tokens[tokens]
-            where[group[loss].pop()] = number
+            group = by_tokens[chosen]
+            loss, item = group.pop(place)
+            where[item] = number
             left -= 1
-            if not group[loss]:
-                del group[loss]
-                if not group:
-                    del by_tokens[tokens]
-                    order.remove(tokens)
-            room, segments, loss_room = room - tokens, segments - 1, loss_room - loss
+            if not group:
+                del by_tokens[chosen]
+                del order[bisect_right(order, chosen) - 1]
+            room, segments, loss_room = room - chosen, segments - 1, loss_room - loss
         number += 1
     return where
 
