@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FROM = "àáâãäåāăąçćčďđèéêëēėęěğìíîïīįıłñńňòóôõöøōőŕřśšşșťţțùúûüūůűųýÿźżž"
-_TO = "aaaaaaaaacccddeeeeeeeegiiiiiiilnnnoooooooorrssssttt" + "uuuuuuuuyyzzz"
+#: Latin letters with marks by the letter they stand for. Fixed values.
+_MARKED = {
+    "a": "àáâãäåāăąǎ", "c": "çćĉċč", "d": "ďđ", "e": "èéêëēĕėęě", "g": "ĝğġģǧ", "h": "ĥ", "i": "ìíîïĩīĭįıǐ", "j": "ĵ", "k": "ķ", "l": "ĺļľł", "n": "ñńņň", "o": "òóôõöøōŏőǒ",
+    "r": "ŕŗř", "s": "śŝşšș", "t": "ţťț", "u": "ùúûüũūŭůűųǔ", "w": "ŵ", "y": "ýÿŷ", "z": "źżž",
+}
+_FROM = "".join(_MARKED.values())
+_TO = "".join(plain * len(marked) for plain, marked in _MARKED.items())
 #: Letters of a name token, joined by one apostrophe, dot or hyphen at most.
 TOKEN = r"[\p{L}]+(?:['’`.-][\p{L}]+)*"
 
@@ -26,7 +31,8 @@ def word_tokens(col: Column) -> Column:
 
 def fold_accents(col: Column) -> Column:
     """Lower case, Latin accents gone."""
-    return F.translate(F.replace(F.replace(F.replace(F.lower(col), F.lit("ß"), F.lit("ss")), F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae")), _FROM, _TO)
+    plain = F.replace(F.replace(F.replace(F.lower(col), F.lit("ß"), F.lit("ss")), F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae"))
+    return F.regexp_replace(F.translate(plain, _FROM, _TO), r"\p{M}+", "")
 
 
 def alnum_key(col: Column) -> Column:

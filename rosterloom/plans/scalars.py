@@ -138,15 +138,15 @@ QUERIES = {
     "url_normalized": (url_normalized, f"select contact_id, regexp_replace(page_url, '#.*$', '') v1, case when {_u(_NET, **_P)} = '' then page_url else case when {_u(_SCHEME, **_P)} = '' then 'https' else {_u(_SCHEME, **_P)} end || '://' || case when {_u(_SCHEME, **_P)} = 'http' then regexp_replace({_u(_NET, **_P)}, ':80$', '') when {_u(_SCHEME, **_P)} = 'https' then regexp_replace({_u(_NET, **_P)}, ':443$', '') else {_u(_NET, **_P)} end || case when {_u(_PATH, **_P)} = '' then '/' else {_u(_PATH, **_P)} end || case when regexp_extract(page_url, '\\?([^#]*)', 1) = '' then '' else '?' || regexp_extract(page_url, '\\?([^#]*)', 1) end end v2 from contacts"),
     "url_parts": (url_parts, f"select contact_id, {_u(_SCHEME, **_P)} as \"scheme\", {_u(_HOST, **_P)} as \"host\", {_u(_PATH, **_P)} as \"path\", len(list_filter(string_split({_u(_PATH, **_P)}, '/'), lambda x: x <> ''))::int \"depth\", {_ROOT.format(h=_u(_HOST, **_P))} site_root, list_filter(string_split(regexp_extract(page_url || '/-', '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')[1] first_segment from contacts"),
     "url_branches": (url_branches, f"select {_u(_HOST, u='url')} || ':' || array_to_string(list_transform(list_filter(string_split({_u(_PATH, u='url')}, '/'), lambda x: x <> '')[1:1], lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '-')), '/') branch, count(*) pages from acquired_pages group by 1"),
-    "home_variants": (home_variants, None),
+    "home_variants": (home_variants, "select institution_id, unnest([0, 1, 2])::int pos, unnest(['https://' || home_domain || '/start', 'https://' || home_domain || '/', case when starts_with(home_domain, 'www.') then 'https://' || home_domain[5:] || '/' else 'https://www.' || home_domain || '/' end]) variant from institutions"),
     "same_site_links": (same_site_links, f"select contact_id, {_u(_SCHEME, **_P)} in ('http', 'https') and {_ROOT.format(h=_u(_HOST, **_P))} = {_ROOT.format(h=_u(_HOST, u=chr(39) + 'https://' + chr(39) + ' || i.home_domain'))} same_site, regexp_matches(page_url, '(?i)\\.(?:pdf|jpe?g|png|gif|svg|webp|ico|css|js|zip|gz|docx?|xlsx?|pptx?|mp[34]|avi|mov|woff2?)(?:$|[?#])') asset from contacts join institutions i using (institution_id)"),
     "domain_relationship": (domain_relationship, f"select ranked_id, case when dom = '' then 'none' when dom = home then 'primary' when ends_with(dom, '.' || home) or ends_with(home, '.' || dom) then 'subsite' else 'partner' end relationship from (select ranked_id, case when contains(em, '@') then string_split(em, '@')[-1] else '' end dom, regexp_replace(home_domain, '^www\\.', '') home from (select ranked_id, institution_id, {_E} em from ranked_contacts) join institutions using (institution_id))"),
     "email_extract": (email_extract, f"select page_id, (unnest(range(1, len(m) + 1)) - 1)::int pos, unnest(m) email from (select page_id, regexp_extract_all(visible_text, '{_EMAIL}') m from acquired_pages)"),
     "email_normalized": (email_normalized, f"select contact_id, {_E} email from contacts"),
     "email_features": (email_features, f"select contact_id, string_split(em, '@')[1] \"local\", regexp_replace(string_split(em, '@')[1], '[^a-z0-9]', '', 'g') local_alnum, case when contains(em, '@') then string_split(em, '@')[-1] else '' end dom, regexp_matches(string_split(em, '@')[1], '^(?:info|enquiries|enquiry|contact|office|support|hello|admissions|international|ug|pg|postgrad|undergrad|apply|students|noreply)') generic, len(string_split(raw, '@')) = 2 and string_split(raw, '@')[1] <> '' and contains(string_split(raw, '@')[-1], '.') and not regexp_matches(raw, '\\s') and not regexp_matches(string_split(raw, '@')[-1], '^\\.|\\.$') well_formed from (select contact_id, {_E} em, coalesce(email, '') raw from contacts)"),
     "email_obfuscated": (email_obfuscated, None),
-    "email_name_match": (email_name_match, None),
-    "name_features": (name_features, None),
+    "email_name_match": (email_name_match, f"with c as (select contact_id, {_E} em, list_filter(string_split(regexp_replace({_FOLD.format(c=chr(34) + 'name' + chr(34))}, '[^a-z]+', ' ', 'g'), ' '), lambda w: w <> '') w from contacts), p as (select contact_id, em, regexp_replace(string_split(em, '@')[1], '[^a-z0-9]', '', 'g') l, coalesce(w[1], '') f, case when len(w) > 1 then w[-1] else '' end s from c) select contact_id, em <> '' and ((length(s) >= 3 and contains(l, s)) or (length(f) >= 3 and contains(l, f) and s <> '' and contains(l, s[1]))) matches from p"),
+    "name_features": (name_features, f"select contact_id, trim(regexp_replace(n, '[\\s\\x{{00a0}}]+', ' ', 'g'), ' ') collapsed, trim(regexp_replace({_FOLD.format(c='n')}, '[^a-z0-9]+', ' ', 'g'), ' ') folded, len(regexp_extract_all(n, '\\p{{L}}+(?:[''’`.-]\\p{{L}}+)*'))::int tokens, substring(regexp_replace(trim({_FOLD.format(c='n')}, ' '), '[^A-Za-z0-9]+', '_', 'g'), 1, 80) slug from (select contact_id, coalesce(name, '') n from contacts)"),
     "token_counts": (token_counts, "select doc_id, greatest(1, floor(length(coalesce(text, '')) / 4))::int tokens from documents"),
     "content_signatures": (content_signatures, "select page_id, sha1(substring(lower(trim(regexp_replace(coalesce(visible_text, ''), '[\\s\\x{00a0}]+', ' ', 'g'), ' ')), 1, 2500)) signature from acquired_pages"),
     "line_counts": (line_counts, "select line, count(*) n from (select trim(unnest(string_split(visible_text, chr(10))), ' ') line from acquired_pages) where line <> '' group by 1 order by n desc, line limit 50"),
