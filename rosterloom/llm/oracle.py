@@ -36,4 +36,12 @@ select first_id, contact_id copy_id from k join g using (k1, k2, k3) where conta
 
 P5_COLLAPSED = f"with k as ({_KEYED}) select min(contact_id) first_id, count(*) copies from k group by k1, k2, k3"
 
-SQL = {"p1_found": P1_FOUND, "p5_found": P5_FOUND, "p5_collapsed": P5_COLLAPSED}
+_WORDS = "string_split(trim(regexp_replace(regexp_replace(lower(nfc_normalize({c})), '[\\p{{Cf}}''’‘`´]+', '', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{So}}]+', ' ', 'g'), ' '), ' ')"
+_GRAMS = "select distinct {k}, array_to_string(w[p:p + 11], ' ') g from (select {k}, w, unnest(range(1, len(w) - 10)) p from (select {k}, {w} w from {t}) where len(w) >= 12)"
+
+P9_FOUND = f"""
+with d as ({_GRAMS.format(k='doc_id', t='documents', w=_WORDS.format(c='"text"'))}), i as ({_GRAMS.format(k='item_id', t='eval_items', w=_WORDS.format(c='item_text'))})
+select distinct doc_id, item_id from d join i using (g)
+"""
+
+SQL = {"p9_found": P9_FOUND, "p1_found": P1_FOUND, "p5_found": P5_FOUND, "p5_collapsed": P5_COLLAPSED}
