@@ -38,7 +38,7 @@ from rosterloom.operators.components import components
 from rosterloom.session import cut_lineage
 
 # Titles; short forms of given names; words of offices with their abbreviations.
-TITLES = frozenset("dr dra drs prof profin profssa professor professorin dott dottssa dottore ing arch avv mr mrs ms miss mx mme mlle m herr frau hr fr sig sigra sra sr don dona pr pd mag dipl phd msc rer nat hc univ".split())
+TITLES = frozenset("dr dra drs prof profin profssa ssa professor professorin dott dottssa dottore ing arch avv mr mrs ms miss mx mme mlle m herr frau hr fr sig sigra sra sr don dona pr pd mag dipl phd msc rer nat hc univ".split())
 SHORT_FORMS = {
     "patricia": "pat patty trish tricia", "samuel": "sam sammy", "jose": "pepe", "concepcion": "concha conchita", "margaret": "peggy maggie meg marge", "francisco": "paco pancho", "dolores": "lola", "giuseppe": "beppe peppe pino",
     "william": "bill will billy", "robert": "bob rob bobby", "richard": "rick dick rich", "michael": "mike mick", "elizabeth": "liz beth betty lizzy", "elisabeth": "lisa else", "katherine": "kate kathy katie kat", "christopher": "chris kit",
@@ -140,7 +140,11 @@ def person(form: str, given_names: Near) -> tuple[str, str, str]:
     """(surname, given name, initial) of folded words, a comma between surname and given name; '' where there is none."""
     head, comma, tail = form.partition(",")
     left, right = head.split(), tail.split()
-    if comma and left and right:
+    if comma and all(t in TITLES for t in right):  # "Given Surname, Prof."
+        right = []
+    if left and right and left[0] in given_names.exact and right[0] not in given_names.exact:  # "Given, Surname"
+        left, right = right, left
+    if left and right:
         full = [t for t in right if len(t) > 1 and t not in TITLES]
         family = [t for t in left if t not in TITLES]
         if full and all(len(t) == 1 for t in family):  # "P., Surname"
@@ -159,7 +163,7 @@ def person(form: str, given_names: Near) -> tuple[str, str, str]:
     if at is None and len(full) > 1:
         at = next((k for k, t in enumerate(full) if given_names.find(t)), None)
     if at is None:
-        if initials and (len(full) == 1 or not given_names.exact):
+        if initials and (len(full) == 1 or len(tokens[0]) == 1 or len(tokens[-1]) == 1):
             return full[0], "", initials[0]
         at = 0 if len(full) > 1 else None
     rest = [] if at is None else full[:at] + full[at + 1 :]
@@ -188,7 +192,7 @@ def folded_form(name: str) -> str:
     if "," not in name:
         if name.isascii():
             return " ".join(_OTHER.sub(" ", name.lower().replace("'", "").replace("`", "")).split())
-        return " ".join(fold(w) for w in words(name.replace(".", " ")))
+        return " ".join(fold(w) if len(w) > 1 else fold(w)[:1] for w in words(name.replace(".", " ")))  # an initial stays one letter
     head, _, tail = name.partition(",")
     left, right = folded_form(head), folded_form(tail.replace(",", " "))
     return f"{left},{right}" if left and right else left or right

@@ -19,6 +19,7 @@ def rows():
         ("Patricia Tolbren", "p.tolbren@x.example", "pat"), ("Pat Tolbren", None, "pat"), ("Patrciia Tolbren Vondel", None, "pat"), ("P. Grunwalsk", None, "?"), ("Paola Grunwalsk", None, "paola"), ("Paolo Grunwalsk", None, "paolo"),
         ("Student Mobility Unit", "mobility@x.example", "off"), ("Stud. Mobility Unit", None, "off"), ("Mobility Unit for Students", None, "off"), ("Student Mobility Unit Kelnor Campus", None, "off-k"), ("Mobility Unit, Student Kelnor Campus", None, "off-k"),
         ("Hugo Vanderplot", "hugo.vanderplot@x.example", "h1"), ("Hugo Vanderblot", "hugo.vanderblot@x.example", "h2"), ("JosÃ© Wanfroll", None, "garbled"), ("José Wanfroll", None, "jose"), (None, "a@x.example", "none"), ("", None, "none"), (" ", None, "none"),
+        ("Marta Lindorfa Pasqual", None, "ml"), ("M. Lindorfa Pasqual", None, "ml"), ("Prof.ssa Marta Lindorfa", None, "ml"), ("Marta Lindorfa, Prof.", None, "ml"), ("Marta, Lindorfa", None, "ml"),
         ("Zoë Karpenlu", "zkarpenlu@x.example", "zoe"), ("X" * 20000, None, "long"),
     ]
     return out + [(1000 + n, "hx", name, mail, who) for n, (name, mail, who) in enumerate(x)]
