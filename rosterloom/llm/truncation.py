@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 PREFIX = 32
 #: White space and invisible characters that may stand after a text.
 _BLANKS = " \n\r\t\f\v\u00a0\u00ad\u200b\u200c\u200d\u2028\u2029\u202f\u3000\ufeff"
-TAIL, LINE = 120, 240
+TAIL, LINE, START = 120, 240, 240
 
 _ELLIPSIS = r"[\s\[(]*(?:…|\.{3,}|\[…\]|\[\.{3,}\]?)[\s\])]*$"
 #: An ellipsis that stands apart from the last word replaces what was cut; one in place of the full stop does not.
@@ -98,7 +98,8 @@ def strict_prefixes(texts: DataFrame) -> DataFrame:
     several = keyed.groupBy("bucket").agg(F.min("len").alias("lo"), F.max("len").alias("hi")).filter("lo < hi").select("bucket")
     chosen = keyed.join(several, "bucket", "left_semi").select("text", "h").dropDuplicates(["h"])
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("longer", T.LongType()), T.StructField("edge", T.StringType())])
-    pairs = chosen.repartitionByRange("text").sortWithinPartitions("text").mapInPandas(_neighbours, schema)
+    # ranges of the beginnings keep the order of the texts, and the sample that fixes them holds no whole text
+    pairs = chosen.withColumn("start", F.substring("text", 1, START)).repartitionByRange("start").select("text", "h").sortWithinPartitions("text").mapInPandas(_neighbours, schema)
     inside = pairs.filter("longer is not null").select("h")
     # two texts per partition: as few as there are partitions
     edges = pairs.filter("edge is not null").select(F.col("edge").alias("text"), "h").coalesce(1).sortWithinPartitions("text").mapInPandas(_neighbours, schema)
