@@ -31,6 +31,8 @@ PREFIX = 32
 #: White space and invisible characters that may stand after a text.
 _BLANKS = " \n\r\t\f\v\u00a0\u00ad\u200b\u200c\u200d\u2028\u2029\u202f\u3000\ufeff"
 TAIL, LINE, START = 120, 240, 240
+#: Texts that must end in a line before it counts as a closing line of its own.
+CLOSINGS = 3
 
 _ELLIPSIS = r"[\s\[(]*(?:…|\.{3,}|\[…\]|\[\.{3,}\]?)[\s\])]*$"
 #: An ellipsis that stands apart from the last word replaces what was cut; one in place of the full stop does not.
@@ -48,16 +50,16 @@ def last_line(text: Column) -> Column:
 
 
 def ending_key(piece: Column) -> Column:
-    """The last three words of a piece of text: numbers as #, capitalised words as N, ^ where it has fewer words.
-
-    Of a list item, which is found in fewer places, the last two words.
-    """
+    """The last three words of a piece of text: numbers as #, capitalised words as N, ^ where it has fewer words."""
     # three words fit into the closing characters; the rest of a long piece needn't be scanned for them
     bare = F.regexp_replace(F.regexp_replace(F.substring(piece, -TAIL, TAIL), _LIST, ""), r"[\s\p{P}]+$", "")
     tail = F.regexp_extract(F.concat(F.lit("^ ^ "), bare), r"((?<!\S)\S++\s++\S++\s++\S++)$", 1)
     tail = F.regexp_replace(tail, r"(?<=[\s^])\S*\d\S*", "#")
-    masked = F.regexp_replace(F.regexp_replace(tail, r"(?<!\S)[\p{P}]*\p{Lu}[^\s]*", "N"), r"\s+", " ")
-    return F.when(piece.rlike(_LIST), F.regexp_replace(masked, r"^\S+ ", "")).otherwise(masked)
+    return F.regexp_replace(F.regexp_replace(tail, r"(?<!\S)[\p{P}]*\p{Lu}[^\s]*", "N"), r"\s+", " ")
+
+
+def last_two(key: Column) -> Column:
+    return F.regexp_extract(key, r"(\S+ \S+)$", 1)
 
 
 def known_endings(df: DataFrame, least: int = 2) -> DataFrame:
@@ -66,14 +68,13 @@ def known_endings(df: DataFrame, least: int = 2) -> DataFrame:
     Each is known under its last three words and under its last two.
     """
     pieces = df.select(F.xxhash64("text").alias("h"), F.split(F.regexp_replace("text", r"(\D[.!?…]|\d{3}[.!?…])[ \t]+", "$1\n"), "\n").alias("pieces"))
-    last = F.element_at("pieces", -1)
-    # the last piece of a text counts if it is closed, or short as items and signatures are
-    counts = last.rlike(_CLOSED) | ((F.length(last) <= 60) & ~last.rlike(_ELLIPSIS))
-    kept = pieces.select("h", F.explode(F.when(counts, F.col("pieces")).otherwise(F.slice("pieces", 1, F.greatest(F.size("pieces") - 1, F.lit(0))))).alias("piece"))
+    # the last piece of a text counts if it is closed
+    closed = F.element_at("pieces", -1).rlike(_CLOSED)
+    kept = pieces.select("h", F.explode(F.when(closed, F.col("pieces")).otherwise(F.slice("pieces", 1, F.greatest(F.size("pieces") - 1, F.lit(0))))).alias("piece"))
     ends = kept.filter("trim(piece) <> ''").filter(~F.substring("piece", -4, 4).rlike(r"(?<!\d)\d{1,2}\.$")).select("h", ending_key(F.col("piece")).alias("ending"))
     # two distinct texts are enough, and the smallest and largest hash show them with map-side combining
     once = ends.groupBy("ending").agg(F.min("h").alias("a"), F.max("h").alias("b"))
-    both = once.select(F.explode(F.array_distinct(F.array("ending", F.regexp_extract("ending", r"(\S+ \S+)$", 1)))).alias("ending"), "a", "b")
+    both = once.select(F.explode(F.array_distinct(F.array("ending", last_two(F.col("ending"))))).alias("ending"), "a", "b")
     return both.groupBy("ending").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b" if least > 1 else "true").select("ending")
 
 
@@ -114,27 +115,30 @@ def judged(documents: DataFrame, limit_share: float = 0.01, limit_texts: int = 3
     per = lengths.groupBy("source").agg(F.max(F.struct("len", "texts")).alias("top"), F.sum("texts").alias("all"))
     limits = per.filter((F.col("top.texts") >= limit_texts) & (F.col("top.texts") >= limit_share * F.col("all"))).select(F.col("source").alias("s"), F.col("top.len").alias("limit"))
 
-    last = F.col("last")
-    ellipsis = last.rlike(_ELLIPSIS)
-    bare = F.regexp_replace(last, _ELLIPSIS, "")
-    closed = F.col("bare").rlike(_CLOSED) & ~F.col("bare").rlike(_ABBREVIATED)
     # the last line, of a long one its closing part: what is asked of it is how it ends and whether it is short
-    lines = rows.select("doc_id", "source", "h", "len", F.substring(last_line(F.col("text")), -LINE, LINE).alias("last"))
-    ends = lines.select("doc_id", "source", "h", "len", "last", ellipsis.alias("ellipsis"), bare.alias("bare"))
+    full = last_line(F.col("text"))
+    lines = rows.select("doc_id", "source", "h", "len", F.substring(full, -LINE, LINE).alias("last"), full.rlike(_LIST).alias("item"))
+    ends = lines.select("*", F.col("last").rlike(_ELLIPSIS).alias("ellipsis"), F.regexp_replace("last", _ELLIPSIS, "").alias("bare"))
+    closed = F.col("bare").rlike(_CLOSED) & ~F.col("bare").rlike(_ABBREVIATED)
     ends = ends.withColumn("words", F.size(F.split(F.trim("bare"), r"\s+"))).withColumn(
         "kind",
         F.when(F.trim("last") == "", "empty").when(closed, "closed").when(F.col("bare").rlike(_CONTACT) & ~F.col("ellipsis"), "contact").when(F.col("bare").rlike(_SIGNED) & ~F.col("ellipsis"), "signed")
         .when(F.col("ellipsis") & F.col("last").rlike(_SPACED), "prose")
-        .when(F.col("bare").rlike(_LIST) | F.col("ellipsis") | (F.col("words") <= 4), "ask").otherwise("prose"),
+        .when(F.col("item") | F.col("ellipsis") | (F.col("words") <= 4), "ask").otherwise("prose"),
     )
-    ends = ends.withColumn("ending", F.when(F.col("kind") == "ask", ending_key(F.col("bare"))))
+    key = ending_key(F.col("bare"))
+    ends = ends.withColumn("ending", F.when(F.col("kind") == "ask", F.when(F.col("item"), last_two(key)).otherwise(key))).withColumn("line", F.when(F.col("kind") == "ask", F.xxhash64(F.lower(F.trim("bare")))))
     asked = ends.filter("kind = 'ask'").select("ending").distinct()
-    known = known_endings(rows.filter("text <> ''").select("text")).join(asked, "ending", "left_semi").withColumn("known", F.lit(True))
+    inner = known_endings(rows.filter("text <> ''").select("text")).join(asked, "ending", "left_semi").withColumn("inner", F.lit(True))
+    # a short last line of prose is mostly a sentence just begun: of such only a person's name is known by its shape
+    masked_counts = F.col("item") | F.col("ellipsis") | (F.col("ending") == "^ N N")
+    # closing lines such as offices and list items end several texts letter for letter
+    closing = ends.filter("kind = 'ask' and not ellipsis").groupBy("line").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.approx_count_distinct("h", 0.05).alias("n")).filter((F.col("a") != F.col("b")) & (F.col("n") >= CLOSINGS)).select("line", F.lit(True).alias("closing"))
     longer = strict_prefixes(rows.filter("text <> ''").select("text", "h")).withColumn("longer_copy", F.lit(True))
-    out = ends.join(known, "ending", "left").join(longer, "h", "left").join(limits, ends["source"].eqNullSafe(F.col("s")), "left")
+    out = ends.join(inner, "ending", "left").join(closing, "line", "left").withColumn("known", F.coalesce("closing", F.when(masked_counts, F.col("inner")))).join(longer, "h", "left").join(limits, ends["source"].eqNullSafe(F.col("s")), "left")
     at_limit = F.coalesce(F.col("len") == F.col("limit"), F.lit(False)) & ~F.col("kind").isin("closed", "empty")
     open_end = (F.col("kind") == "prose") | ((F.col("kind") == "ask") & F.col("known").isNull())
-    out = out.select("doc_id", "source", F.coalesce("longer_copy", F.lit(False)).alias("longer_copy"), at_limit.alias("at_limit"), open_end.alias("open_end"), "kind", ((F.col("kind") == "ask") & ~F.col("bare").rlike(_LIST) & ~F.col("ellipsis") & ~F.startswith("ending", F.lit("^"))).alias("begun"))
+    out = out.select("doc_id", "source", F.coalesce("longer_copy", F.lit(False)).alias("longer_copy"), at_limit.alias("at_limit"), open_end.alias("open_end"), "kind", ((F.col("kind") == "ask") & ~F.col("item") & ~F.col("ellipsis") & ~F.startswith("ending", F.lit("^"))).alias("begun"))
     # a short last line of prose has the length of a signature; at the limit of its source it is a sentence just begun
     begun = F.col("at_limit") & F.coalesce(F.col("begun"), F.lit(False))
     return out.withColumn("cut", F.col("open_end") | begun | (F.col("longer_copy") & ~F.col("kind").isin("closed", "contact", "signed", "empty")))
