@@ -1,12 +1,16 @@
 """Main body of web pages: template deduction by equivalence classes of tokens, and residue of templates and errors.
 
 The lines of a page are its tokens; a line that joins labels (a menu in one row) is cut into them. Tokens of one host
-that occur on exactly the same set of pages (equal occurrence vectors) form an equivalence class. A class is valid if
-two or more different addresses carry it; valid classes, outermost (most pages) first, are the host's template, and
-what is not in it fills the template's slots. Tokens that stand before an e-mail address on most of their pages belong
-to contact blocks, which are content however often they are repeated. Tokens that are valid on several hosts are the
-vocabulary of page furniture; together with a few fixed patterns it serves hosts of too few pages. A side box is its
-heading and a slot of ``BOX_ITEMS`` lines.
+that occur on exactly the same set of pages (equal occurrence vectors) form an equivalence class, a candidate if two or
+more different addresses carry it. A class of ``MIN_SIZE`` or more tokens is ordered if its tokens stand in one order
+wherever a record has them all. On each record a candidate is nested in the enclosing class, that of the next greater
+support which the record has whole: the tokens of an ordered class are slots' borders, and a class is valid if each of its
+tokens falls into one and the same slot of every ordered class it is nested in. An outermost class has nothing to be
+nested in and must be ordered; a class of one token, or one without order, is taken token by token and must be nested.
+Valid classes are the host's template, and what is not in it fills the template's slots. Tokens that stand before an
+e-mail address on most of their pages belong to contact blocks, which are content however often they are repeated.
+Tokens that several hosts repeat are the vocabulary of page furniture; together with a few fixed patterns it serves
+hosts of too few pages. A side box is its heading and a slot of ``BOX_ITEMS`` lines.
 
 A record is residue if what is left without furniture is an error page, a notice in place of the page, filler, or has
 unfilled placeholders where values belong. Messages are judged before recurrent lines are subtracted, since one server
@@ -35,6 +39,8 @@ from rosterloom.operators.skew import lookup_join
 from rosterloom.session import cut_lineage
 
 BOX_ITEMS = 3
+#: Tokens of a class that can enclose others.
+MIN_SIZE = 2
 #: Pages that must carry a class, hosts on which a token must be valid to be furniture anywhere, share of a line's tokens.
 MIN_PAGES, MIN_HOSTS, MIN_SHARE = 2, 3, 0.6
 #: Share of a token's pages on which it may stand before an address, share of the hosts that must agree on furniture.
@@ -110,7 +116,8 @@ _WORD = re.compile(r"\w+")
 _HOLE_SIGN = re.compile(r"[{$%\[<«#]|__|XXX|undefined|TODO|NaN|null")
 _MAIL_SIGN = re.compile(r"@|\bat\b", re.I)
 
-TOKENS = T.StructType([T.StructField(n, t) for n, t in (("src", T.IntegerType()), ("rec_id", T.LongType()), ("url", T.LongType()), ("place", T.IntegerType()), ("key", T.LongType()), ("hk", T.LongType()), ("contact", T.IntegerType()))])
+TOKENS = T.StructType([T.StructField(n, t) for n, t in (("src", T.IntegerType()), ("rec_id", T.LongType()), ("url", T.LongType()), ("place", T.IntegerType()), ("key", T.LongType()), ("hk", T.LongType()), ("contact", T.IntegerType()), ("host", T.LongType()))])
+NESTED = T.StructType([T.StructField(n, t) for n, t in (("hk", T.LongType()), ("owner", T.LongType()), ("lo", T.IntegerType()), ("hi", T.IntegerType()), ("own", T.BooleanType()))])
 JUDGED = T.StructType([T.StructField("src", T.StringType()), T.StructField("rec_id", T.LongType()), T.StructField("body", T.ArrayType(T.IntegerType())), T.StructField("residue", T.StringType())])
 
 
@@ -217,7 +224,43 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 hk = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (host_of.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
                 hk = (hk ^ (hk >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             repeat = lambda k, kind: np.repeat(np.array([p[k] for p in per], kind), n)  # noqa: E731, B023
-            yield pd.DataFrame({"src": repeat(0, np.int32), "rec_id": repeat(1, np.int64), "url": repeat(2, np.int64), "place": np.array(places, np.int32), "key": key, "hk": hk.view(np.int64), "contact": np.array(contacts, np.int32)})
+            yield pd.DataFrame({"src": repeat(0, np.int32), "rec_id": repeat(1, np.int64), "url": repeat(2, np.int64), "place": np.array(places, np.int32), "key": key, "hk": hk.view(np.int64), "contact": np.array(contacts, np.int32), "host": host_of})
+
+
+def _nested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Where candidates stand on records: rank in their own class (own) or slot of the enclosing one, as lo and hi of a batch."""
+    for batch in batches:
+        n = batch["places"].map(len).to_numpy()
+        rec = np.repeat(np.arange(len(batch)), n)
+        place, hk, cls, size, support = (np.concatenate([np.asarray(x, np.int64) for x in batch[c]] or [np.empty(0, np.int64)]) for c in ("places", "hks", "classes", "sizes", "supports"))
+        order = np.lexsort((place, hk, rec))
+        rec, place, hk, cls, size, support = (x[order] for x in (rec, place, hk, cls, size, support))
+        first = np.ones(len(rec), bool)
+        first[1:] = (rec[1:] != rec[:-1]) | (hk[1:] != hk[:-1])  # a token's role is that of its first place
+        rec, place, hk, cls, size, support = (x[first] for x in (rec, place, hk, cls, size, support))
+        order = np.lexsort((place, cls, -support, rec))
+        rec, place, hk, cls, size, support = (x[order] for x in (rec, place, hk, cls, size, support))
+        if not len(rec):
+            continue
+        new = np.ones(len(rec), bool)
+        new[1:] = (rec[1:] != rec[:-1]) | (cls[1:] != cls[:-1])
+        start = np.flatnonzero(new)
+        count = np.diff(np.append(start, len(rec)))
+        at = np.repeat(np.arange(len(start)), count)
+        whole = (count == size[start]) & (count >= MIN_SIZE)
+        rank = np.arange(len(rec)) - start[at]
+        # whole classes of a record from the most support to the least; the enclosing one is the last of greater support
+        wide = np.flatnonzero(whole)
+        level = lambda i: rec[i] * (1 << 32) + ((1 << 31) - support[i])  # noqa: E731, B023
+        up = np.searchsorted(level(start[wide]), level(np.arange(len(rec)))) - 1
+        inside = up >= 0
+        inside[inside] = rec[start[wide[up[inside]]]] == rec[inside]
+        parent = wide[up[inside]]
+        spot = at * (1 << 32) + place
+        slot = np.searchsorted(spot, parent * (1 << 32) + place[inside]) - start[parent]
+        mine = whole[at]
+        found = pd.DataFrame({"hk": np.concatenate([hk[mine], hk[inside]]), "owner": np.concatenate([cls[mine], cls[start[parent]]]), "slot": np.concatenate([rank[mine], slot]), "own": np.repeat([True, False], [mine.sum(), inside.sum()])})
+        yield found.groupby(["hk", "owner", "own"], as_index=False)["slot"].agg(lo="min", hi="max").astype({"lo": np.int32, "hi": np.int32})[NESTED.names]
 
 
 def judge(text: str, hits: set[tuple[int, int]], seen: dict | None = None) -> tuple[list[int], str | None]:
@@ -282,9 +325,9 @@ def records(df: DataFrame, src: str, id_col: str, url_col: str, text_col: str) -
 
 
 def template(tokens: DataFrame) -> DataFrame:
-    """Classes of enough pages by token: hk (host and token), key, support, contact, class_id (hash of the occurrence vector), n."""
-    pages = tokens.groupBy("hk", "key", "url").agg(F.max("contact").alias("contact"), F.count("*").alias("n"))
-    vector = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("url")), F.bit_xor(F.xxhash64("url", F.lit(1))))
+    """Classes of enough pages by token: hk (host and token), key, support, contact, class_id (hash of host and occurrence vector), n."""
+    pages = tokens.groupBy("hk", "key", "url").agg(F.max("contact").alias("contact"), F.count("*").alias("n"), F.min("host").alias("host"))
+    vector = F.xxhash64(F.min("host"), F.count("*"), F.bit_xor(F.xxhash64("url")), F.bit_xor(F.xxhash64("url", F.lit(1))))
     found = pages.groupBy("hk", "key").agg(F.count("*").alias("support"), F.avg("contact").alias("contact"), vector.alias("class_id"), F.sum("n").alias("n"))
     return found.filter(F.col("support") >= MIN_PAGES)
 
@@ -295,16 +338,36 @@ def vocabulary(classes: DataFrame) -> DataFrame:
     return hosts.filter(F.col("all") >= MIN_HOSTS).select("key", ((F.col("hosts") >= MIN_HOSTS) & (F.col("hosts") >= MOST * F.col("all"))).alias("furniture"))
 
 
+def sized(classes: DataFrame) -> DataFrame:
+    """The candidates with the number of tokens of their class: size."""
+    sizes = classes.groupBy("class_id").agg(F.count("*").cast("int").alias("size"))
+    return classes.join(sizes, "class_id").select("hk", F.col("support").cast("int").alias("support"), "class_id", "size", "n")
+
+
+def outside(marked: DataFrame, local: DataFrame) -> DataFrame:
+    """(hk) of candidates in no valid class: neither ordered nor nested, or in different slots of an ordered class."""
+    seen = marked.select("places", "hks", "classes", "sizes", "supports").mapInPandas(_nested, NESTED)
+    seen = cut_lineage(seen.groupBy("hk", "owner", "own").agg((F.min("lo") == F.max("hi")).alias("one")))
+    ordered = seen.filter("own").groupBy("owner").agg(F.min("one").alias("one")).filter("one").select("owner")
+    valid = seen.join(ordered, "owner").groupBy("hk").agg(F.min("one").alias("one")).filter("one").select("hk")
+    return local.select("hk").join(valid, "hk", "left_anti")
+
+
 def judged(recs: DataFrame) -> DataFrame:
     """(src, rec_id, body, residue) of every record: numbers of body lines; residue is NULL for real pages."""
     recs = recs.withColumn("src_no", F.xxhash64("src").cast("string").substr(-6, 6).cast("int"))
     tokens = cut_lineage(recs.filter("text <> ''").mapInPandas(_tokens, TOKENS))
     classes = cut_lineage(template(tokens))
     known = cut_lineage(vocabulary(classes))
-    local = classes.filter(F.col("contact") <= MAX_CONTACT).join(known.filter("not furniture"), "key", "left_anti")
-    own = lookup_join(tokens.select("src", "rec_id", "place", "hk"), local.select("hk", "n"), "hk", "rec_id", "n").select("src", "rec_id", "place")
-    common = tokens.join(known.filter("furniture").select("key"), "key").select("src", "rec_id", "place")
-    hits = own.unionByName(common).groupBy("src", "rec_id").agg(F.collect_set("place").alias("hits")).withColumnRenamed("src", "src_no")
+    local = cut_lineage(sized(classes.filter(F.col("contact") <= MAX_CONTACT).join(known.filter("not furniture"), "key", "left_anti")))
+    own = lookup_join(tokens.select("src", "rec_id", "place", "hk"), local, "hk", "rec_id", "n")
+    marked = cut_lineage(own.groupBy("src", "rec_id").agg(*(F.collect_list(c).alias(name) for c, name in (("place", "places"), ("hk", "hks"), ("class_id", "classes"), ("size", "sizes"), ("support", "supports")))))
+    lost = marked.select("src", "rec_id", F.explode(F.arrays_zip("places", "hks")).alias("x")).select("src", "rec_id", F.col("x.places").alias("place"), F.col("x.hks").alias("hk"))
+    lost = lost.join(outside(marked, local), "hk").groupBy("src", "rec_id").agg(F.collect_set("place").alias("lost"))
+    own = marked.join(lost, ["src", "rec_id"], "left").select("src", "rec_id", F.when(F.col("lost").isNull(), F.col("places")).otherwise(F.array_except("places", "lost")).alias("own"))
+    common = tokens.join(known.filter("furniture").select("key"), "key").groupBy("src", "rec_id").agg(F.collect_set("place").alias("common"))
+    none = F.array().cast("array<int>")
+    hits = own.join(common, ["src", "rec_id"], "full").select(F.col("src").alias("src_no"), "rec_id", F.array_union(F.coalesce("own", none), F.coalesce("common", none)).alias("hits"))
     return recs.join(hits, ["src_no", "rec_id"], "left").select("src", "rec_id", "text", "hits").mapInPandas(_judge, JUDGED)
 
 

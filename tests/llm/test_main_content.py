@@ -51,3 +51,25 @@ def test_lines_and_empty(spark):
 def test_address_keys():
     assert M.address_key("HTTPS://www.X.org//a/b/?q#f") == ("x.org", "x.org/a/b")
     assert M.address_key(None) == ("", "/")
+
+
+def test_repeats_outside_the_nested_template_are_body(spark):
+    top, foot = ["Kelnor Institute of Widgets", "Campus map of Kelnor"], ["Write to the web team of Kelnor", "Kelnor is a member of the Ring"]
+    floating = "The hall of Kelnor opens for guests in May"
+    rows = [(i, f"https://kelnor.example/{i}", "\n".join([*top, f"Own words {i} of page {i}.", "Kelnor banner of the year" if i < 3 else f"Line {i}", *foot, f"Last words of {i}."])) for i in range(6)]
+    # one repeated line stands in two slots of the template, another on a host whose pages share nothing else
+    rows[4] = (4, rows[4][1], rows[4][2].replace("Line 4", floating))
+    rows[5] = (5, rows[5][1], rows[5][2] + "\n" + floating)
+    rows += [(10 + i, f"https://lone.example/{i}", f"Own line {i}.\nVisits to the archive are free\nOther line {i}.") for i in range(2)]
+    out = {r["rec_id"]: r["body"] for r in M.judged(recs(spark, rows)).collect()}
+    assert [out[i] for i in range(3)] == [[3, 7]] * 3
+    assert out[3] == out[4] == [3, 4, 7] and out[5] == [3, 4, 7, 8]
+    assert out[10] == out[11] == [1, 2, 3]
+
+
+def test_classes_without_order_enclose_nothing():
+    import pandas as pd
+
+    batch = pd.DataFrame({"places": [[256, 512, 768], [512, 256, 768]], "hks": [[1, 2, 3]] * 2, "classes": [[9, 9, 5]] * 2, "sizes": [[2, 2, 1]] * 2, "supports": [[3, 3, 2]] * 2})
+    seen = {(r.hk, r.owner, r.own): (r.lo, r.hi) for r in next(M._nested(iter([batch]))).itertuples()}
+    assert seen == {(1, 9, True): (0, 1), (2, 9, True): (0, 1), (3, 9, False): (2, 2)}
