@@ -2,7 +2,7 @@
 
 The lines of a page are its tokens; a line that joins labels (a menu in one row) is cut into them. Tokens of one host
 that occur on exactly the same set of pages (equal occurrence vectors) form an equivalence class, a candidate if two or
-more different addresses carry it. A class of ``MIN_SIZE`` or more tokens is ordered if its tokens stand in one order
+more different addresses carry it, and at least ``MIN_SUPPORT`` of all addresses of the host. A class of ``MIN_SIZE`` or more tokens is ordered if its tokens stand in one order
 wherever a record has them all. On each record a candidate is nested in the enclosing class, that of the next greater
 support which the record has whole: the tokens of an ordered class are slots' borders, and a class is valid if each of its
 tokens falls into one and the same slot of every ordered class it is nested in. An outermost class has nothing to be
@@ -41,8 +41,8 @@ from rosterloom.session import cut_lineage
 BOX_ITEMS = 3
 #: Tokens of a class that can enclose others.
 MIN_SIZE = 2
-#: Pages that must carry a class, hosts on which a token must be valid to be furniture anywhere, share of a line's tokens.
-MIN_PAGES, MIN_HOSTS, MIN_SHARE = 2, 3, 0.6
+#: Share of a host's addresses, and number of them, that must carry a class; hosts on which a token must be valid to be furniture anywhere, share of a line's tokens.
+MIN_SUPPORT, MIN_PAGES, MIN_HOSTS, MIN_SHARE = 0.05, 2, 3, 0.6
 #: Share of a token's pages on which it may stand before an address, share of the hosts that must agree on furniture.
 MAX_CONTACT, MOST = 0.5, 0.7
 
@@ -117,6 +117,8 @@ _HOLE_SIGN = re.compile(r"[{$%\[<«#]|__|XXX|undefined|TODO|NaN|null")
 _MAIL_SIGN = re.compile(r"@|\bat\b", re.I)
 
 TOKENS = T.StructType([T.StructField(n, t) for n, t in (("src", T.IntegerType()), ("rec_id", T.LongType()), ("url", T.LongType()), ("place", T.IntegerType()), ("key", T.LongType()), ("hk", T.LongType()), ("contact", T.IntegerType()), ("host", T.LongType()))])
+#: The candidates of a record, as lists.
+MARK = ("place", "hk", "class_id", "size", "support")
 NESTED = T.StructType([T.StructField(n, t) for n, t in (("hk", T.LongType()), ("owner", T.LongType()), ("lo", T.IntegerType()), ("hi", T.IntegerType()), ("own", T.BooleanType()))])
 JUDGED = T.StructType([T.StructField("src", T.StringType()), T.StructField("rec_id", T.LongType()), T.StructField("body", T.ArrayType(T.IntegerType())), T.StructField("residue", T.StringType())])
 
@@ -230,9 +232,9 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _nested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Where candidates stand on records: rank in their own class (own) or slot of the enclosing one, as lo and hi of a batch."""
     for batch in batches:
-        n = batch["places"].map(len).to_numpy()
+        n = batch["place"].map(len).to_numpy()
         rec = np.repeat(np.arange(len(batch)), n)
-        place, hk, cls, size, support = (np.concatenate([np.asarray(x, np.int64) for x in batch[c]] or [np.empty(0, np.int64)]) for c in ("places", "hks", "classes", "sizes", "supports"))
+        place, hk, cls, size, support = (np.concatenate([np.asarray(x, np.int64) for x in batch[c]] or [np.empty(0, np.int64)]) for c in MARK)
         order = np.lexsort((place, hk, rec))
         rec, place, hk, cls, size, support = (x[order] for x in (rec, place, hk, cls, size, support))
         first = np.ones(len(rec), bool)
@@ -328,8 +330,10 @@ def template(tokens: DataFrame) -> DataFrame:
     """Classes of enough pages by token: hk (host and token), key, support, contact, class_id (hash of host and occurrence vector), n."""
     pages = tokens.groupBy("hk", "key", "url").agg(F.max("contact").alias("contact"), F.count("*").alias("n"), F.min("host").alias("host"))
     vector = F.xxhash64(F.min("host"), F.count("*"), F.bit_xor(F.xxhash64("url")), F.bit_xor(F.xxhash64("url", F.lit(1))))
-    found = pages.groupBy("hk", "key").agg(F.count("*").alias("support"), F.avg("contact").alias("contact"), vector.alias("class_id"), F.sum("n").alias("n"))
-    return found.filter(F.col("support") >= MIN_PAGES)
+    found = pages.groupBy("hk", "key").agg(F.count("*").alias("support"), F.avg("contact").alias("contact"), F.min("host").alias("host"), vector.alias("class_id"), F.sum("n").alias("n"))
+    found = found.filter(F.col("support") >= MIN_PAGES)
+    hosts = tokens.select("host", "url").distinct().groupBy("host").agg(F.count("*").alias("addresses"))
+    return found.join(hosts, "host").filter(F.col("support") >= MIN_SUPPORT * F.col("addresses")).drop("host", "addresses")
 
 
 def vocabulary(classes: DataFrame) -> DataFrame:
@@ -346,7 +350,7 @@ def sized(classes: DataFrame) -> DataFrame:
 
 def outside(marked: DataFrame, local: DataFrame) -> DataFrame:
     """(hk) of candidates in no valid class: neither ordered nor nested, or in different slots of an ordered class."""
-    seen = marked.select("places", "hks", "classes", "sizes", "supports").mapInPandas(_nested, NESTED)
+    seen = marked.select(*MARK).mapInPandas(_nested, NESTED)
     seen = cut_lineage(seen.groupBy("hk", "owner", "own").agg((F.min("lo") == F.max("hi")).alias("one")))
     ordered = seen.filter("own").groupBy("owner").agg(F.min("one").alias("one")).filter("one").select("owner")
     valid = seen.join(ordered, "owner").groupBy("hk").agg(F.min("one").alias("one")).filter("one").select("hk")
@@ -361,10 +365,10 @@ def judged(recs: DataFrame) -> DataFrame:
     known = cut_lineage(vocabulary(classes))
     local = cut_lineage(sized(classes.filter(F.col("contact") <= MAX_CONTACT).join(known.filter("not furniture"), "key", "left_anti")))
     own = lookup_join(tokens.select("src", "rec_id", "place", "hk"), local, "hk", "rec_id", "n")
-    marked = cut_lineage(own.groupBy("src", "rec_id").agg(*(F.collect_list(c).alias(name) for c, name in (("place", "places"), ("hk", "hks"), ("class_id", "classes"), ("size", "sizes"), ("support", "supports")))))
-    lost = marked.select("src", "rec_id", F.explode(F.arrays_zip("places", "hks")).alias("x")).select("src", "rec_id", F.col("x.places").alias("place"), F.col("x.hks").alias("hk"))
+    marked = cut_lineage(own.groupBy("src", "rec_id").agg(*(F.collect_list(c).alias(c) for c in MARK)))
+    lost = marked.select("src", "rec_id", F.explode(F.arrays_zip("place", "hk")).alias("x")).select("src", "rec_id", "x.place", "x.hk")
     lost = lost.join(outside(marked, local), "hk").groupBy("src", "rec_id").agg(F.collect_set("place").alias("lost"))
-    own = marked.join(lost, ["src", "rec_id"], "left").select("src", "rec_id", F.when(F.col("lost").isNull(), F.col("places")).otherwise(F.array_except("places", "lost")).alias("own"))
+    own = marked.join(lost, ["src", "rec_id"], "left").select("src", "rec_id", F.when(F.col("lost").isNull(), F.col("place")).otherwise(F.array_except("place", "lost")).alias("own"))
     common = tokens.join(known.filter("furniture").select("key"), "key").groupBy("src", "rec_id").agg(F.collect_set("place").alias("common"))
     none = F.array().cast("array<int>")
     hits = own.join(common, ["src", "rec_id"], "full").select(F.col("src").alias("src_no"), "rec_id", F.array_union(F.coalesce("own", none), F.coalesce("common", none)).alias("hits"))

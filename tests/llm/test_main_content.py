@@ -70,6 +70,12 @@ def test_repeats_outside_the_nested_template_are_body(spark):
 def test_classes_without_order_enclose_nothing():
     import pandas as pd
 
-    batch = pd.DataFrame({"places": [[256, 512, 768], [512, 256, 768]], "hks": [[1, 2, 3]] * 2, "classes": [[9, 9, 5]] * 2, "sizes": [[2, 2, 1]] * 2, "supports": [[3, 3, 2]] * 2})
+    batch = pd.DataFrame({"place": [[256, 512, 768], [512, 256, 768]], "hk": [[1, 2, 3]] * 2, "class_id": [[9, 9, 5]] * 2, "size": [[2, 2, 1]] * 2, "support": [[3, 3, 2]] * 2})
     seen = {(r.hk, r.owner, r.own): (r.lo, r.hi) for r in next(M._nested(iter([batch]))).itertuples()}
     assert seen == {(1, 9, True): (0, 1), (2, 9, True): (0, 1), (3, 9, False): (2, 2)}
+
+
+def test_support_is_relative_to_the_host(spark):
+    rows = [(i, f"https://wide.example/{i}", f"Wide House of Words\nOpen to all readers\nOwn words {i} of page {i}.\n{'Lesser Seas Officer' if i in (7, 90) else f'Role {i}'}\nLast words {i}.\nWide web team\nRing of houses") for i in range(100)]
+    out = {r["rec_id"]: r["body"] for r in M.judged(recs(spark, rows)).collect()}
+    assert all(body == [3, 4, 5] for body in out.values()) and len(out) == 100
