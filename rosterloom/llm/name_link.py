@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import pandas as pd
 import xxhash
@@ -282,8 +283,12 @@ def _keys(table: str) -> str:
 _LISTS = ("ss", "gs", "bare", "heads", "sures")
 
 
-def resolve(forms: DataFrame, max_rounds: int = 20) -> DataFrame:
-    """(node, label) of every form in a merged record; ``forms`` has node, inst, kind, s, g, i, box, sure."""
+def resolve(forms: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(node, label) of every form in a merged record; ``forms`` has node, inst, kind, s, g, i, box, sure.
+
+    Every round but the last ones merges records, so the rounds end. The result is exact or an error: a limit of rounds
+    never cuts it short.
+    """
     spark = forms.sparkSession
     box = forms.filter("box is not null").select("node", F.xxhash64("kind", F.when(F.col("kind") == "o", F.col("g")).otherwise(F.lit("")), "box").alias("box")).distinct()
     shared = box.groupBy("box").agg(F.min("node").alias("b"), F.max("node").alias("z")).filter("b <> z").select("box", "b")
@@ -297,7 +302,9 @@ def resolve(forms: DataFrame, max_rounds: int = 20) -> DataFrame:
     keys = cut_lineage(spark.sql(_keys("rl_records")))
     tops = None  # where first labels have gone: (node, label)
     ask = "all"  # which records ask in a round: all, those that grew, or those with an initial only
-    for _ in range(max_rounds):
+    for done in count():
+        if max_rounds is not None and done >= max_rounds:
+            raise RuntimeError("resolve did not settle")
         record.createOrReplaceTempView("rl_records")
         if ask == "all":
             # most blocks that hold more than one record hold two: those need no join

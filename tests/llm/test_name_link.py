@@ -1,5 +1,7 @@
 from itertools import combinations
 
+import pytest
+
 from rosterloom.llm import name_link as N
 from rosterloom.llm.textnorm import squeezed
 
@@ -44,3 +46,11 @@ def test_near():
     assert N.near("abcd", "abdc") and N.near("abcd", "abcde") and N.near("abcd", "bcd") and N.near("abcd", "abxd") and not N.near("abcd", "badc") and not N.near("ab", "abcd")
     words = ["daniel", "daniela", "hugo"]
     assert N.Near(words).find("danila") == ["daniela"] and N.Near(words).find("daniel") == ["daniel"]
+
+
+def test_rounds_end_in_a_result_or_an_error(spark):
+    forms = [(1, 1, "p", "mundalvur", "erik", "", None, False), (2, 1, "p", "mundalvurk", "erik", "", None, False)]
+    df = spark.createDataFrame(forms, "node long, inst long, kind string, s string, g string, i string, box long, sure boolean")
+    assert len({r["label"] for r in N.resolve(df).collect()}) == 1
+    with pytest.raises(RuntimeError):
+        N.resolve(df, max_rounds=1)
