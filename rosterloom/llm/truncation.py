@@ -4,7 +4,8 @@ Evidence, each a column of the result:
 
 * ``longer_copy``: the text is a strict prefix of another text. Texts are bucketed by a hash of their first
   characters; buckets that hold texts of several lengths are sorted by text over range partitions, where a strict
-  prefix stands directly before a text that it begins (texts at the partitions' edges are compared by a second pass);
+  prefix stands directly before a text that it begins (texts at the partitions' edges are compared by a second pass).
+  Texts shorter than those first characters are looked up among the beginnings of all texts at their own lengths;
 * ``at_limit``: the text is exactly as long as the longest texts of its source, and at least ``limit_share`` of that
   source's texts stop there;
 * ``open_end``: the text stops inside a sentence. A last line of prose without a closing mark does. For list items,
@@ -93,6 +94,16 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(first[1], None, first[0]), (before[1], None, before[0])], columns=["h", "longer", "edge"])
 
 
+def short_prefixes(texts: DataFrame) -> DataFrame:
+    """Hashes (h) of texts of under ``PREFIX`` characters that are a strict prefix of another."""
+    short = texts.filter(F.length("text") < PREFIX).select("text", "h").distinct()
+    lengths = [r["n"] for r in short.select(F.length("text").alias("n")).distinct().collect()]  # at most PREFIX
+    if not lengths:
+        return short.select("h")
+    begun = texts.select(F.explode(F.array(*map(F.lit, lengths))).alias("n"), "text").filter(F.length("text") > F.col("n"))
+    return short.join(begun.select(F.expr("substring(text, 1, n)").alias("text")).distinct(), "text", "left_semi").select("h")
+
+
 def strict_prefixes(texts: DataFrame) -> DataFrame:
     """Hashes (h) of texts that are a strict prefix of another; ``texts`` is (text, h), each text once or more."""
     keyed = texts.select("text", "h", F.length("text").alias("len"), F.xxhash64(F.substring("text", 1, PREFIX)).alias("bucket"))
@@ -104,7 +115,7 @@ def strict_prefixes(texts: DataFrame) -> DataFrame:
     inside = pairs.filter("longer is not null").select("h")
     # two texts per partition: as few as there are partitions
     edges = pairs.filter("edge is not null").select(F.col("edge").alias("text"), "h").coalesce(1).sortWithinPartitions("text").mapInPandas(_neighbours, schema)
-    return inside.unionByName(edges.filter("longer is not null").select("h")).distinct()
+    return inside.unionByName(edges.filter("longer is not null").select("h")).unionByName(short_prefixes(texts)).distinct()
 
 
 def judged(documents: DataFrame, limit_share: float = 0.01, limit_texts: int = 3) -> DataFrame:

@@ -47,3 +47,11 @@ def test_prefixes_against_brute_force(spark):
     ids = {r["text"]: r["h"] for r in df.collect()}
     want = {ids[a] for a in texts if any(b != a and b.startswith(a) for b in texts)}
     assert {r["h"] for r in T.strict_prefixes(df).collect()} == want
+
+
+def test_short_prefixes(spark):
+    texts = ["fee", "fee waivers", "fee waivers", "Fee", "visa", "é", "éa" * 40, "x" * (T.PREFIX - 1), "x" * T.PREFIX, "y" * T.PREFIX, "y" * 99]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", "xxhash64(text) h")
+    ids = {r["text"]: r["h"] for r in df.collect()}
+    want = {ids[a] for a in texts if any(b != a and b.startswith(a) for b in texts)}
+    assert len(want) == 4 and {r["h"] for r in T.strict_prefixes(df).collect()} == want
