@@ -39,10 +39,21 @@ def test_against_brute_force(spark):
     docs.append((2000, " ".join(rng.choices(vocab, k=60000)) + " " + items[2][1]))
     df = spark.createDataFrame([(d, t, "clash", 1) for d, t in docs], "doc_id long, text string, fp string, item_id int")
     it = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, item_text string, words int")
-    assert sorted(tuples(L.leaks(df, it), "doc_id", "item_id")) == brute(docs, items)
+    for small in (L.SMALL_ITEMS, 0):  # items in every task, and the join of fingerprint tables
+        assert sorted(tuples(L.leaks(df, it, small_items=small), "doc_id", "item_id")) == brute(docs, items)
     assert L.leaks(df.limit(0), it).count() == 0 and L.leaks(df, it.limit(0)).count() == 0
 
 
 def test_shorter_runs_are_refused(spark):
     with pytest.raises(ValueError):
         L.leaks(None, None, 8)
+
+
+def test_short_words_and_repeated_words(spark):
+    line = "a b c d e f g h i j k l"
+    docs = [(1, line), (2, line + " m"), (3, "a " * 3000), (4, line.replace(" ", "\n- ").upper()), (5, "a b c d e f g h i j k")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame([(7, line), (8, "a " * 40)], "item_id long, item_text string")
+    want = [(1, 7, 12), (2, 7, 12), (3, 8, 40), (4, 7, 12)]
+    for small in (L.SMALL_ITEMS, 0):
+        assert tuples(L.leaks(df, it, small_items=small)) == want
