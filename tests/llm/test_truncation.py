@@ -55,3 +55,24 @@ def test_short_prefixes(spark):
     ids = {r["text"]: r["h"] for r in df.collect()}
     want = {ids[a] for a in texts if any(b != a and b.startswith(a) for b in texts)}
     assert len(want) == 4 and {r["h"] for r in T.strict_prefixes(df).collect()} == want
+
+
+def test_many_texts_of_one_beginning(spark):
+    """More texts than a range may hold begin alike far beyond the first cut of the ranges."""
+    import random
+
+    rng = random.Random(4)
+    head = "h" * 3 * T.START
+    texts = [head + "".join(rng.choices("ab", k=rng.randrange(1, 14))) for _ in range(400)] + [head, head[: T.START], head[:600], "h" * 40]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", "xxhash64(text) h")
+    ids = {r["text"]: r["h"] for r in df.collect()}
+    want = {ids[a] for a in texts if any(b != a and b.startswith(a) for b in texts)}
+    assert {r["h"] for r in T.strict_prefixes(df, hot_start=20).collect()} == want
+
+
+def test_long_last_lines(spark):
+    """What is asked of a last line is asked of the whole line, whatever its length."""
+    url = "https://x.example/" + "a" * 400
+    rows = corpus() + [(300, "a", "Done.\n— Anna " + "van " * 100 + "Miller"), (301, "a", "It stopped at " + " ".join("w" * 90 for _ in range(4))), (302, "a", "See\n" + url), (303, "a", "Call us: " + "x" * 50_000 + " +49 30 123456")]
+    got = judged(spark, rows)
+    assert {d for d in got if d >= 300 and got[d]["cut"]} == {301}
