@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from rosterloom.llm.textnorm import squeezed, words
 from rosterloom.operators.skew import lookup_join
+from rosterloom.session import cut_lineage
 
 
 def canonical(ordered: list[str | None], unordered: list[str | None]) -> str:
@@ -52,12 +53,12 @@ def collapsed(df: DataFrame, id_col: str, unordered: list[str], ordered: list[st
 
 
 def collisions(groups: DataFrame) -> DataFrame:
-    """128-bit hashes that stand for more than one canonical form (none are expected at any realistic size)."""
+    """(hash, forms) of 128-bit hashes that stand for more than one canonical form (none are expected at any realistic size)."""
     return groups.groupBy(F.substring("key", 1, 16).alias("hash")).agg(F.count("*").alias("forms")).filter("forms > 1")
 
 
 def copies(df: DataFrame, id_col: str, unordered: list[str], ordered: list[str], hot_rows: int = 200_000) -> DataFrame:
     """(first_id, copy_id) for every record that is a later copy. A group of any size is spread over many tasks."""
-    keys = keyed(df, id_col, unordered, ordered)
-    groups = copy_groups(keys).filter("copies > 1")
+    keys = cut_lineage(keyed(df, id_col, unordered, ordered))
+    groups = cut_lineage(copy_groups(keys).filter("copies > 1"))
     return lookup_join(keys, groups, "key", "rec_id", "copies", hot_rows).filter("rec_id <> first_id").select("first_id", F.col("rec_id").alias("copy_id"))
