@@ -6,24 +6,27 @@ most ``capacity`` tokens, ``max_segments`` segments and ``max_loss`` loss-bearin
 are split, into pieces of exactly the capacity and a last one; every token is in exactly one container.
 
 Sizes are few: items of equal size vector are interchangeable, so they are first counted. Packing runs over counts of
-sizes in ``shards`` that hold about ``shard_items`` items each, chosen by a hash; the open containers of a shard take,
-of all sizes that fit, the one with the greatest dot product of item and remaining room. Since every shard holds
-thousands of items, the unused space of its last containers is a fraction of a percent. Shards are independent, so the
-work is spread over as many tasks as there are shards; no shard grows with the corpus.
+sizes in ``shards`` that hold about ``shard_items`` items each (pieces counted, for every capacity by itself), chosen by
+a hash; the open container of a shard takes, of all sizes that fit, the one with the greatest dot product of item and
+remaining room, or one that closes it exactly. Since every shard holds thousands of items, the unused space of its last
+containers is a fraction of a percent. Shards are independent, so the work is spread over as many tasks as there are
+shards; no shard grows with the corpus.
 
 Defined results: NULL and '' have no tokens and get no container; equal texts are packed each; an empty table gives no
-rows; capacities come from the table of containers (NULL or below 1 are left out), each packed on its own; extra
-columns are ignored.
+rows; capacities come from the table of containers (NULL or below 1 are left out), each packed on its own; an item that
+has more loss-bearing tokens than the limit by itself gets a container of its own; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,8 @@ from pyspark.sql import types as T
 #: Path of a vocabulary file of ranks; the default is one of the public ones of this machine.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SHARD_ITEMS = 20_000
+#: Container kinds are a list of parameters; a table of more is an error, not a plan.
+MAX_KINDS = 1000
 #: Without another limit, a container may hold one segment per so many tokens of capacity (and at least 16).
 SEGMENT_TOKENS = 32
 
@@ -49,10 +54,15 @@ def encoder(vocabulary: str):
 
 
 def sized(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(doc_id, tokens, loss_tokens) of every text that has tokens."""
+    """(doc_id, tokens, loss_tokens) of every text that has tokens. The vocabulary file travels to the executors."""
+    context = documents.sparkSession.sparkContext
+    if os.path.isfile(vocabulary):
+        context.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary)
+        sent = SparkFiles.get(name)
+        enc = encoder(sent if os.path.isfile(sent) else vocabulary)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
@@ -66,10 +76,18 @@ def sized(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFra
     return texts.mapInPandas(run, SIZED)
 
 
-def pieces(sizes: DataFrame, containers: DataFrame) -> DataFrame:
+def kinds(containers: DataFrame) -> list[tuple[int, str | None]]:
+    """(capacity, label) of the table of containers, each once."""
+    rows = containers.select(F.col("capacity_tokens").cast("int").alias("capacity"), F.col("label").cast("string").alias("label")).filter("capacity >= 1").distinct().take(MAX_KINDS + 1)
+    if len(rows) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of containers")
+    return sorted(((r["capacity"], r["label"]) for r in rows), key=repr)
+
+
+def pieces(sizes: DataFrame, caps: list[tuple[int, str | None]]) -> DataFrame:
     """Items for every capacity: whole texts, and pieces of those above it."""
-    caps = containers.select(F.col("capacity_tokens").cast("int").alias("capacity"), "label").filter("capacity >= 1").distinct()
-    items = sizes.filter("tokens > 0").join(F.broadcast(caps), F.lit(True))  # a stated, fixed list of capacities
+    every = F.array(*[F.struct(F.lit(c).alias("capacity"), F.lit(label).cast("string").alias("label")) for c, label in caps]) if caps else F.expr("cast(array() as array<struct<capacity: int, label: string>>)")
+    items = sizes.filter("tokens > 0").withColumn("k", F.explode(every)).select("doc_id", "tokens", "loss_tokens", "k.capacity", "k.label")
     items = items.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / F.col("capacity")).cast("int"))))
     start = F.col("piece") * F.col("capacity")
     size = F.least(F.col("capacity"), F.col("tokens") - start)
@@ -133,8 +151,14 @@ def assigned(documents: DataFrame, containers: DataFrame, vocabulary: str = DEFA
     from rosterloom.session import cut_lineage
 
     sizes = cut_lineage(sized(documents, vocabulary))
-    items = pieces(sizes, containers)
-    shards = max(1, -(-sizes.count() // shard_items))
+    caps = kinds(containers)
+    items = pieces(sizes, caps)
+    # shards by items, not by texts: one long text is many pieces
+    values = sorted({c for c, _ in caps})
+    counts = sizes.filter("tokens > 0").agg(*[F.sum(F.ceil(F.col("tokens") / c)).alias(f"n{c}") for c in values]).first() if caps else {}
+    shards = F.lit(1)
+    for c in values:
+        shards = F.when(F.col("capacity") == c, F.lit(max(1, -(-(counts[f"n{c}"] or 0) // shard_items)))).otherwise(shards)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         capacity, shard = int(key[0]), int(key[2])
@@ -145,7 +169,7 @@ def assigned(documents: DataFrame, containers: DataFrame, vocabulary: str = DEFA
         number = pack(list(zip(pdf["tokens"].tolist(), loss.tolist())), capacity, max_segments or max(16, capacity // SEGMENT_TOKENS), limit)
         return pdf.assign(container=[f"{capacity}-{shard}-{n}" for n in number])[ITEM.names]
 
-    spread = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.col("piece")), F.lit(shards)))
+    spread = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.col("piece")), shards))
     return spread.groupBy("capacity", "label", "shard").applyInPandas(run, ITEM)
 
 

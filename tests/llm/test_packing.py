@@ -59,3 +59,18 @@ def test_loss_limit(spark):
     assert loose["containers"] == 5 and tight["containers"] == 10
     with pytest.raises(ValueError):
         P.assigned(docs, caps, loss_share=0)
+
+
+def test_each_of_three_limits_is_active(spark):
+    """The same texts need more containers under each limit alone than under the capacity alone."""
+    docs = spark.createDataFrame([(i, "a b c d e f g h" if i % 2 else "a b c d e f\ng") for i in range(40)], "doc_id long, text string")
+    caps = spark.createDataFrame([(64, "s")], "capacity_tokens int, label string")
+    n = lambda **k: P.usage(P.assigned(docs, caps, **k)).first()["containers"]
+    assert n(max_segments=100) < n(max_segments=4) and n(max_segments=100) < n(max_segments=100, loss_share=0.3)
+
+
+def test_shards_count_pieces(spark):
+    docs = spark.createDataFrame([(1, "word " * 4000)], "doc_id long, text string")
+    caps = spark.createDataFrame([(16, "s")], "capacity_tokens int, label string")
+    rows = P.assigned(docs, caps, shard_items=50).collect()
+    assert len({r["container"].split("-")[1] for r in rows}) >= 4
