@@ -23,6 +23,7 @@ repeated rows each get their pairs; an empty table gives none; extra columns are
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
@@ -254,16 +255,13 @@ def established_names(forms: DataFrame, share: float = 0.01, least: int = 3) ->
     return frozenset(r["token"] for r in found.collect() if r["token"] not in TITLES and office_word(r["token"]) is None)
 
 
-def learned_forms(forms: DataFrame, given_names: frozenset[str], least: int = 3) -> dict[str, str]:
-    """Given names that stand for an established one on shared mailboxes of at least ``least`` institutions."""
+def learned_forms(forms: DataFrame, given_names: frozenset[str], least: int = 3) -> DataFrame:
+    """(g, full): given names that stand for one established name on shared mailboxes of at least ``least`` institutions."""
     one = forms.filter("kind = 'p' and box is not null and length(g) > 1").select("inst", "box", "s", "g").distinct()
     known = F.col("g").isin(sorted(given_names)) if given_names else F.lit(False)
     pairs = one.filter(~known).join(one.filter(known).select("box", "s", F.col("g").alias("other")), ["box", "s"])
     counted = pairs.groupBy("g", "other").agg(F.countDistinct("inst").alias("n")).filter(F.col("n") >= least)
-    found: dict[str, set] = {}
-    for r in counted.collect():  # as many as there are short forms of established names
-        found.setdefault(r["g"], set()).add(r["other"])
-    return {g: next(iter(full)) for g, full in found.items() if len(full) == 1}
+    return counted.groupBy("g").agg(F.min("other").alias("full"), F.max("other").alias("z")).filter("full = z").select("g", "full")
 
 
 def _variants(col: str) -> str:
@@ -274,10 +272,10 @@ _CLOSE = """exists(a.ss, x -> exists(b.ss, y -> x = y or (length(x) > 4 and leng
   and (levenshtein(x, y) <= 1 or (length(x) = length(y) and levenshtein(x, y) = 2 and array_sort(split(x, '')) = array_sort(split(y, '')))))))"""
 
 
-def _keys(table: str) -> str:
+def _keys(records: DataFrame) -> DataFrame:
     """(label, block) of records. A block: institution, spelling with at most one letter left out, first letter of the given name."""
-    return f"""select label, xxhash64(inst, head, v) block from (select label, inst, head, explode({_variants('s')}) v
-      from (select label, inst, s, explode(array_union(heads, bare)) head from (select label, inst, heads, bare, explode(ss) s from {table})))"""
+    one = records.select("label", "inst", "heads", "bare", F.explode("ss").alias("s")).select("label", "inst", "s", F.explode(F.array_union("heads", "bare")).alias("head"))
+    return one.select("label", "inst", "head", F.explode(F.expr(_variants("s"))).alias("v")).select("label", F.xxhash64("inst", "head", "v").alias("block"))
 
 
 _LISTS = ("ss", "gs", "bare", "heads", "sures")
@@ -298,14 +296,14 @@ def resolve(forms: DataFrame, max_rounds: int | None = None) -> DataFrame:
     record = cut_lineage(named.groupBy("label", "inst").agg(
         F.collect_set("s").alias("ss"), F.collect_set(F.nullif("g", F.lit(""))).alias("gs"), F.collect_set(F.nullif("i", F.lit(""))).alias("bare"),
         F.collect_set(F.left(F.nullif(F.col("g"), F.lit("")), F.lit(1))).alias("heads"), F.collect_set(F.when(F.col("sure"), F.col("s"))).alias("sures")))
-    record.createOrReplaceTempView("rl_records")
-    keys = cut_lineage(spark.sql(_keys("rl_records")))
+    views = f"rl{uuid.uuid4().hex[:12]}"  # of this run alone
+    keys = cut_lineage(_keys(record))
     tops = None  # where first labels have gone: (node, label)
     ask = "all"  # which records ask in a round: all, those that grew, or those with an initial only
     for done in count():
         if max_rounds is not None and done >= max_rounds:
             raise RuntimeError("resolve did not settle")
-        record.createOrReplaceTempView("rl_records")
+        record.createOrReplaceTempView(f"{views}_records")
         if ask == "all":
             # most blocks that hold more than one record hold two: those need no join
             sizes = keys.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).filter("a <> b")
@@ -316,14 +314,18 @@ def resolve(forms: DataFrame, max_rounds: int | None = None) -> DataFrame:
             near = sizes.filter("n = 2").select("a", "b").unionByName(more.select("a", "b")).distinct()
         else:
             asking = record.filter("size(gs) = 0") if ask == "bare" else record.join(grown, "label", "left_semi")
-            cut_lineage(asking).createOrReplaceTempView("rl_asking")
-            # spellings and initials of records that grew are combined anew, those of the others are as they were
-            now = keys if tops is None else keys.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select(F.coalesce("top", "label").alias("label"), "block")
-            now.createOrReplaceTempView("rl_keys")
-            near = spark.sql(f"select distinct least(a.label, b.label) a, greatest(a.label, b.label) b from ({_keys('rl_asking')}) a join rl_keys b on a.block = b.block and a.label <> b.label")
-        cut_lineage(near).createOrReplaceTempView("rl_near")
+            # Every record that has grown, in this round or before, stands under all its spellings and initials combined
+            # anew, as asked and as asking record; the keys of the others are as they were.
+            now = keys
+            if tops is not None:
+                rich = tops.select("label").distinct()
+                stale = tops.select(F.col("node").alias("label")).unionByName(rich).distinct()
+                now = keys.join(stale, "label", "left_anti").unionByName(_keys(record.join(rich, "label", "left_semi")))
+            b = now.select(F.col("label").alias("other"), "block")
+            near = _keys(cut_lineage(asking)).join(b, "block").filter("label <> other").select(F.least("label", "other").alias("a"), F.greatest("label", "other").alias("b")).distinct()
+        cut_lineage(near).createOrReplaceTempView(f"{views}_near")
         pairs = cut_lineage(spark.sql(f"""
-          select a.label a, b.label b, arrays_overlap(a.gs, b.gs) or (size(a.gs) = 0 and size(b.gs) = 0) same, size(a.gs) = 0 a_bare from rl_near n join rl_records a on n.a = a.label join rl_records b on n.b = b.label
+          select a.label a, b.label b, arrays_overlap(a.gs, b.gs) or (size(a.gs) = 0 and size(b.gs) = 0) same, size(a.gs) = 0 a_bare from {views}_near n join {views}_records a on n.a = a.label join {views}_records b on n.b = b.label
           where (arrays_overlap(a.gs, b.gs) or (size(a.gs) = 0 and arrays_overlap(a.bare, array_union(b.heads, b.bare))) or (size(b.gs) = 0 and arrays_overlap(b.bare, array_union(a.heads, a.bare)))) and {_CLOSE}"""))
         fresh = pairs.filter("same").select("a", "b")
         if ask == "bare":
@@ -346,6 +348,8 @@ def resolve(forms: DataFrame, max_rounds: int | None = None) -> DataFrame:
         else:
             step = moved.select(F.col("node").alias("label"), F.col("label").alias("top"))
             tops = cut_lineage(tops.join(step, "label", "left").select("node", F.coalesce("top", "label").alias("label")).unionByName(moved))
+    for name in ("records", "near"):
+        spark.catalog.dropTempView(f"{views}_{name}")
     if tops is None:
         return labels
     step = tops.select(F.col("node").alias("label"), F.col("label").alias("top"))
@@ -364,15 +368,24 @@ def linked(rows: DataFrame) -> DataFrame:
     names = established_names(mentions)
     parsed = cut_lineage(mentions.select("form").distinct().mapInPandas(_parser(names), PARSED))
     forms = mentions.join(parsed, "form").withColumn("sure", F.col("kind").eqNullSafe("p") & (F.length("s") > 3) & F.contains("local", F.col("s"))).drop("form", "local")
-    short = learned_forms(forms, names)
-    if short:
-        swap = F.create_map(*[F.lit(x) for pair in short.items() for x in pair])
-        forms = forms.withColumn("g", F.when(F.col("kind") == "p", F.coalesce(F.try_element_at(swap, F.col("g")), F.col("g"))).otherwise(F.col("g")))
+    short = cut_lineage(learned_forms(forms, names))
+    swapped = forms.filter("kind = 'p'").join(short, "g", "left").withColumn("g", F.coalesce("full", "g")).drop("full")
+    forms = forms.filter("kind <> 'p'").unionByName(swapped) if short.limit(1).count() else forms
     forms = cut_lineage(forms.withColumn("node", F.xxhash64("inst", "kind", "s", "g", "i")))
     labels = resolve(forms)
     return forms.select("id", "seen", "node").join(labels, "node", "left").select("id", "seen", F.coalesce("label", "node").alias("entity"))
 
 
+def entities(contacts: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(id, entity, spellings): the entity of every row with a usable name, the exact compact form of all pairs.
+
+    ``entity`` is the smallest id among its rows, ``spellings`` counts the spellings that the entity has.
+    """
+    rows = cut_lineage(linked(rows_of(contacts, ranked)))
+    firsts = rows.groupBy("entity", "seen").agg(F.min("id").alias("first")).groupBy("entity").agg(F.min("first").alias("first"), F.count("*").alias("spellings"))
+    return rows.join(firsts, "entity").select("id", F.col("first").alias("entity"), "spellings")
+
+
 def variant_pairs(contacts: DataFrame, ranked: DataFrame) -> DataFrame:
     """(id_a, id_b): each pair of rows of one entity whose spellings differ."""
     rows = cut_lineage(linked(rows_of(contacts, ranked)))

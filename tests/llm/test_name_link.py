@@ -54,3 +54,24 @@ def test_rounds_end_in_a_result_or_an_error(spark):
     assert len({r["label"] for r in N.resolve(df).collect()}) == 1
     with pytest.raises(RuntimeError):
         N.resolve(df, max_rounds=1)
+
+
+def test_grown_records_meet_under_what_both_gained(spark):
+    """Two records that grew in one round share a block only by a spelling and an initial that each has from another form."""
+    rows = [(1, "hartmann", "anna", None), (2, "hartmanne", "anna", 11), (3, "hartmanne", "kira", 11), (4, "hartman", "maria", None), (5, "hatman", "maria", 12), (6, "hatman", "kira", 12)]
+    df = spark.createDataFrame([(n, 1, "p", s, g, "", b, False) for n, s, g, b in rows], "node long, inst long, kind string, s string, g string, i string, box long, sure boolean")
+    got = {r["node"]: r["label"] for r in N.resolve(df).collect()}
+    assert len({got.get(n, n) for n in range(1, 7)}) == 1  # a record that others went to stands for itself
+
+
+def test_entities_hold_all_pairs(spark):
+    data = rows()
+    df = spark.createDataFrame([(i, h, n, m) for i, h, n, m, _ in data], "contact_id long, institution_id string, name string, email string")
+    ranked = df.limit(0).withColumnRenamed("contact_id", "ranked_id")
+    names = {r[0]: r[2] for r in data}
+    groups: dict = {}
+    for r in N.entities(df, ranked).collect():
+        groups.setdefault(r["entity"], []).append(r["id"])
+    assert all(entity == min(ids) for entity, ids in groups.items())
+    pairs = sorted((min(p), max(p)) for ids in groups.values() for p in combinations(ids, 2) if squeezed(names[p[0]]) != squeezed(names[p[1]]))
+    assert pairs == sorted((r["id_a"], r["id_b"]) for r in N.variant_pairs(df, ranked).collect())
