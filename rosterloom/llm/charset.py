@@ -38,7 +38,6 @@ FREQUENT = frozenset("éüóíñèäöáçã")
 ALONE_NEVER = frozenset("Ððñûãõâêîïëÿþýß")
 SUSPECT = r"[^\x00-\x7F]|\p{L}\?\p{L}"
 _LOST = re.compile(r"�|(?<=[^\W\d_])\?(?=[^\W\d_])")
-_MAX_LAYERS = 4
 #: A round trip must lower the cost by so much, so text of a lower cost needs none.
 _LEAST_DROP = 0.25
 
@@ -164,7 +163,7 @@ def repair(text: str) -> tuple[bool, str | None, int]:
         return False, None, 0
     lost = bool(_LOST.search(text))
     now, layers = text, 0
-    while layers < _MAX_LAYERS:
+    while True:  # every layer lowers the cost by more than _LEAST_DROP's share, so the layers end
         better = _whole(now) if not lost else None
         if better is None:
             # a value of which one part was touched later: repair the stretches without blanks on their own
@@ -206,8 +205,7 @@ def damaged_values(df: DataFrame, id_col: str, fields: list[str], src: str) -> D
     return judged.filter("r.damaged").select(F.lit(src).alias("src"), "rec_id", "field", "original", F.col("r.repaired").alias("repaired"), F.col("r.layers").alias("layers"))
 
 
-def repaired_text(df: DataFrame, column: str, into: str) -> DataFrame:
-    """``df`` with ``into`` = ``column`` where every recoverable value is restored. Only suspect values reach Python."""
-    suspect = F.when(F.col(column).rlike(SUSPECT), F.col(column))
-    fixed = df.withColumn("__r", repair_column(suspect))
-    return fixed.withColumn(into, F.coalesce(F.col("__r.repaired"), F.col(column))).withColumn(into + "_lost", F.col("__r.damaged") & F.col("__r.repaired").isNull()).withColumn(into + "_damaged", F.coalesce(F.col("__r.damaged"), F.lit(False))).drop("__r")
+def repaired_values(values: DataFrame) -> DataFrame:
+    """(value, text) of those of ``values`` (value) that can be restored. Only suspect ones reach Python."""
+    judged = values.filter(F.col("value").rlike(SUSPECT)).withColumn("r", repair_column(F.col("value")))
+    return judged.filter("r.repaired is not null").select("value", F.col("r.repaired").alias("text"))

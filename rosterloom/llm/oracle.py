@@ -24,6 +24,35 @@ select min(ranked_id) ranked_id from r join g using (institution_id, mailbox)
 where n > 1 and conf = c and src = s and title = t and evid = e and observed_at = o group by institution_id, mailbox
 """
 
+#: Every combination of whole bundles of a branch, by brute force: provenance x identity x recency under the dependency
+#: on the name, the best by trust, then fewest records, then smallest ids; then the best branch of the group.
+P1_SURVIVORS = f"""
+with r as (
+  select l.*, case when o.name is null or {_clean('o.name')} in ({", ".join("'" + x.replace("'", "''") + "'" for x in sorted(STAND_INS))}) then '' else regexp_replace({_clean('o.name')}, '[\\s\\p{{Z}}\\p{{P}}]+', ' ', 'g') end who,
+    coalesce(epoch_us(o.observed_at), -4611686018427387904) seen
+  from ({_LEVELS}) l join ranked_contacts o using (ranked_id) where l.mailbox <> ''),
+sized as (select institution_id, mailbox, count(*) records from r group by all),
+cell as (select * from r qualify row_number() over (partition by institution_id, mailbox, who, conf, src, evid, title order by seen desc, ranked_id) = 1),
+branch as (select institution_id, mailbox, who, count(*) n from r group by all),
+member as (
+  select b.institution_id, b.mailbox, b.who branch, b.n, c.ranked_id, c.who, c.conf, c.src, c.evid, c.title, c.seen, max(c.seen) over (partition by b.institution_id, b.mailbox, b.who) latest
+  from branch b join cell c on b.institution_id = c.institution_id and b.mailbox = c.mailbox and (c.who = b.who or c.who = '')),
+combo as (
+  select p.institution_id, p.mailbox, p.branch, p.n, p.ranked_id provenance_id, i.ranked_id identity_id, q.ranked_id recency_id,
+    4.0 * p.conf + 3.0 * p.src + 2.0 * p.evid + 3.0 * i.title + 0.5 * (i.who <> '')::int + 1.0 * (q.seen = q.latest)::int trust,
+    len(list_distinct([p.ranked_id, i.ranked_id, q.ranked_id])) ids
+  from member p join member i using (institution_id, mailbox, branch) join member q using (institution_id, mailbox, branch)
+  where i.who = '' or p.who = '' or p.who = i.who),
+best as (select * from combo qualify row_number() over (partition by institution_id, mailbox, branch order by trust desc, ids, provenance_id, identity_id, recency_id) = 1),
+top as (select * from best qualify row_number() over (partition by institution_id, mailbox order by trust desc, n desc, identity_id) = 1),
+g as (select institution_id, mailbox, max(conf) c, max(src) s, max(title) t, max(evid) e, max(seen) o from r group by all),
+dom as (select institution_id, mailbox, min(ranked_id) dominant_id from r join g using (institution_id, mailbox) where conf = c and src = s and title = t and evid = e and seen = o group by all)
+select institution_id, mailbox, records, i.name "name", i.title "title", p.confidence confidence, p.email_source email_source, p.evidence_url evidence_url, p.evidence_type evidence_type, p.source_url source_url,
+  epoch_us(q.observed_at) observed_at, q.candidate_status candidate_status, provenance_id, identity_id, recency_id, trust::double trust, dominant_id
+from top join sized using (institution_id, mailbox) left join dom using (institution_id, mailbox)
+join ranked_contacts p on p.ranked_id = provenance_id join ranked_contacts i on i.ranked_id = identity_id join ranked_contacts q on q.ranked_id = recency_id
+"""
+
 _FORM = "regexp_replace(lower(nfc_normalize(coalesce({c}, ''))), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{So}}]+', '', 'g')"
 _BARE = "regexp_replace(lower(nfc_normalize(coalesce(name, ''))), '[\\p{Cf}''’‘`´]+', '', 'g')"
 _PARTS = f"array_to_string(list_sort(regexp_split_to_array({_BARE}, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{So}}]+')), '')"
@@ -44,4 +73,7 @@ with d as ({_GRAMS.format(k='doc_id', t='documents', w=_WORDS.format(c='"text"')
 select distinct doc_id, item_id from d join i using (g)
 """
 
-SQL = {"p9_found": P9_FOUND, "p1_found": P1_FOUND, "p5_found": P5_FOUND, "p5_collapsed": P5_COLLAPSED}
+#: Both hashes of a form would have to differ for one 128-bit hash: SQL counts such forms and finds none.
+P5_COLLISIONS = f"with k as ({_KEYED}) select md5(k1 || chr(31) || k2 || chr(31) || k3)::blob hash, count(distinct (k1, k2, k3)) forms from k group by 1 having count(distinct (k1, k2, k3)) > 1"
+
+SQL = {"p1_survivors": P1_SURVIVORS, "p5_collisions": P5_COLLISIONS, "p9_found": P9_FOUND, "p1_found": P1_FOUND, "p5_found": P5_FOUND, "p5_collapsed": P5_COLLAPSED}

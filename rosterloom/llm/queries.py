@@ -17,7 +17,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
-    return best_record.assembled(table(spark, d, "ranked_contacts"))
+    rows = best_record.assembled(table(spark, d, "ranked_contacts"))
+    return rows.withColumn("observed_at", F.unix_micros(F.col("observed_at").cast("timestamp")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +34,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return name_link.variant_pairs(table(spark, d, "contacts"), table(spark, d, "ranked_contacts"))
 
 
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every named row with its entity: all pairs of p4_found in compact form."""
+    return name_link.entities(table(spark, d, "contacts"), table(spark, d, "ranked_contacts"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return exact_copies.copies(table(spark, d, "contacts"), "contact_id", ["name"], ["email", "page_url"])
 
@@ -41,10 +47,15 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return exact_copies.collapsed(table(spark, d, "contacts"), "contact_id", ["name"], ["email", "page_url"])
 
 
+def p5_collisions(spark: SparkSession, d: str) -> DataFrame:
+    keys = exact_copies.keyed(table(spark, d, "contacts"), "contact_id", ["name"], ["email", "page_url"])
+    return exact_copies.collisions(exact_copies.copy_groups(keys))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    part = lambda df, key, col, src: charset.repaired_text(df.select(F.col(key).cast("bigint").alias("rec_id"), F.col(col).alias("as_typed")), "as_typed", "value").select(F.lit(src).alias("src"), "rec_id", "as_typed", "value")
+    part = lambda df, key, col, src: df.select(F.lit(src).alias("src"), F.col(key).cast("bigint").alias("rec_id"), F.col(col).cast("string").alias("value"))
     rows = part(table(spark, d, "contacts"), "contact_id", "role", "contacts").unionByName(part(table(spark, d, "ranked_contacts"), "ranked_id", "title", "ranked_contacts"))
-    return canonical_map.mapped_rows(spark, rows, table(spark, d, "role_catalog"), table(spark, d, "role_aliases"))
+    return canonical_map.mapped_rows(spark, rows, table(spark, d, "role_catalog"), table(spark, d, "role_aliases"), charset.repaired_values)
 
 
 def _page_records(spark: SparkSession, d: str) -> DataFrame:
@@ -60,8 +71,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return main_content.residues(_page_records(spark, d)).select("src", "rec_id")
 
 
+#: Of a container's capacity, the share that may bear loss: above the share of the documents (0.885), so it binds
+#: containers of prose without a heading and leaves the others as they are.
+LOSS_SHARE = 0.95
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.assigned(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+    return packing.assigned(table(spark, d, "documents"), table(spark, d, "pack_sizes"), loss_share=LOSS_SHARE)
 
 
 def p8_usage(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +97,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_survivors, p2_found, p6_found, p3_found, p3_repaired, p4_found, p5_found, p5_collapsed, p7_found, p8_packed, p8_usage, p9_found, p10_found, p10_rates)
+    found = (p1_found, p1_survivors, p2_found, p6_found, p3_found, p3_repaired, p4_found, p4_entities, p5_found, p5_collapsed, p5_collisions, p7_found, p8_packed, p8_usage, p9_found, p10_found, p10_rates)
     return {f.__name__: f for f in found}
 
 

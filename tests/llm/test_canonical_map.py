@@ -15,7 +15,7 @@ def tables(spark):
 
 
 def mapped(spark, values, catalog, aliases):
-    rows = spark.createDataFrame([("s", i, v, v) for i, v in enumerate(values)], "src string, rec_id long, as_typed string, value string")
+    rows = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "src string, rec_id long, value string")
     return {values[r["rec_id"]]: r["role_id"] for r in M.mapped_rows(spark, rows, catalog, aliases).collect()}
 
 
@@ -52,3 +52,16 @@ def test_pigeonhole_loses_no_close_word(spark):
     values = sorted(set(values) - {"Director of Student Mobility"})
     got = mapped(spark, values, catalog, aliases)
     assert all(got[v] == ids["Director of Student Mobility"] for v in values)
+
+
+def test_repaired_values_and_views(spark):
+    """Values restored by a query before; no temporary view is left."""
+    from rosterloom.llm import charset
+
+    catalog, aliases, ids = tables(spark)
+    good = "Chargé / Insertion professionnelle"
+    bad = good.encode().decode("cp1252")
+    rows = spark.createDataFrame([("s", 1, bad), ("s", 2, bad), ("s", 3, None)], "src string, rec_id long, value string")
+    got = M.mapped_rows(spark, rows, catalog, aliases, charset.repaired_values).collect()
+    assert sorted((r["rec_id"], r["role_id"]) for r in got) == [(1, ids["Career Services Officer"]), (2, ids["Career Services Officer"])]
+    assert not [v.name for v in spark.catalog.listTables() if v.name.startswith("rl")]
