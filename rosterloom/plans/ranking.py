@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from rosterloom.functions import urls
 from rosterloom.functions.text import contains_any, token_estimate
 from rosterloom.operators.records import compose_quota, top_per_group
 from rosterloom.plans.views import us
-from rosterloom.session import shared_folder, table
+from rosterloom.session import new_path, table
 from rosterloom.sources import html
 from rosterloom.streaming.current_state import StateStore
 
@@ -109,7 +108,7 @@ def streamed_state(spark: SparkSession, d: str) -> DataFrame:
     from rosterloom.plans.views import identity
 
     schema = table(spark, d, "contacts").schema
-    folder = f"{shared_folder(spark)}/rosterloom-stream-{uuid.uuid4().hex}"
+    folder = new_path(spark, "stream")
     store = StateStore(spark, folder + "/state")
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/contacts.parquet")
     is_folder = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,22 +36,56 @@ def local_session(cores: int = 8, name: str = "rosterloom", memory: str = "16g")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; only where none is named (as in tests) one of this machine."""
+    """The folder the cluster names for checkpoints. Where none is named, one of this machine, in local mode only."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return named or os.path.join(tempfile.gettempdir(), "rosterloom-shared")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "rosterloom-shared")
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    """A path of its own in the shared folder, removed by ``release`` or when Python ends."""
+    path = f"{shared_folder(spark)}/rosterloom-{kind}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(release)
+    _WRITTEN.append((spark, path))
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it back: a lost executor costs only its own tasks.
 
-    A written table, unlike a checkpoint, also has a size that the optimizer knows. It is removed when Python ends.
+    A written table, unlike a checkpoint, also has a size that the optimizer knows.
     """
-    path = f"{shared_folder(df.sparkSession)}/rosterloom-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    atexit.register(_remove, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(since: int = 0) -> None:
+    """Remove the intermediate tables written so far (from number ``since``): once the results built on them are written."""
+    for spark, path in _WRITTEN[since:]:
+        _remove(spark, path)
+    del _WRITTEN[since:]
+    if not _WRITTEN:
+        atexit.unregister(release)
+
+
+@contextmanager
+def intermediates() -> Iterator[None]:
+    """``with intermediates(): query(spark, d).write...``: what the query wrote on its way goes when the block ends."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        release(before)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -53,6 +53,15 @@ class StateStore:
             return
         state, reduced = self.read(), reduce_batch(batch)
         (reduced if state is None else merge_state(state, reduced)).write.mode("overwrite").parquet(f"{self.folder}/state-{number}")
+        self._drop_before(number)
+
+    def _drop_before(self, number: int, kept: int = 2) -> None:
+        """Remove states that no reader can be at any more: all but the current one and the one before."""
+        fs, where = self._fs()
+        for s in fs.listStatus(where):
+            name = s.getPath().getName()
+            if name.startswith("state-") and int(name.removeprefix("state-")) <= number - kept:
+                fs.delete(s.getPath(), True)
 
 
 def windowed_counts(observations: DataFrame, lateness: str = "3 days", width: str = "1 day") -> DataFrame:
