@@ -71,7 +71,7 @@ def test_classes_without_order_enclose_nothing():
     import pandas as pd
 
     batch = pd.DataFrame({"place": [[256, 512, 768], [512, 256, 768]], "hk": [[1, 2, 3]] * 2, "class_id": [[9, 9, 5]] * 2, "size": [[2, 2, 1]] * 2, "support": [[3, 3, 2]] * 2})
-    seen = {(r.hk, r.owner, r.own): (r.lo, r.hi) for r in next(M._nested(iter([batch]))).itertuples()}
+    seen = {(r.hk, r.owner, r.own): (r.lo, r.hi) for r in M._nested_of(batch).itertuples()}
     assert seen == {(1, 9, True): (0, 1), (2, 9, True): (0, 1), (3, 9, False): (2, 2)}
 
 
@@ -79,3 +79,36 @@ def test_support_is_relative_to_the_host(spark):
     rows = [(i, f"https://wide.example/{i}", f"Wide House of Words\nOpen to all readers\nOwn words {i} of page {i}.\n{'Lesser Seas Officer' if i in (7, 90) else f'Role {i}'}\nLast words {i}.\nWide web team\nRing of houses") for i in range(100)]
     out = {r["rec_id"]: r["body"] for r in M.judged(recs(spark, rows)).collect()}
     assert all(body == [3, 4, 5] for body in out.values()) and len(out) == 100
+
+
+def test_slot_of_a_box_is_learned(spark):
+    """Boxes whose lines are known tokens show how long the slot of every box is."""
+    menu = "Home | Study | Alumni | Give | Fees"
+    rows = [(i, f"https://box.example/{i}", f"{menu}\nTop {i} of page.\nQuick links\nHome\nGive\nOwn words {i} of the page.\nBox House of Words") for i in range(5)]
+    rows.append((9, "https://box.example/9", f"{menu}\nTop 9 of page.\nQuick links\nA teaser nobody repeats\nAnother teaser of its own\nOwn words 9 of the page.\nBox House of Words"))
+    out = {r["rec_id"]: r["body"] for r in M.judged(recs(spark, rows)).collect()}
+    assert out == {i: [2, 6] for i in (0, 1, 2, 3, 4, 9)}
+
+
+def test_filler_without_its_first_words(spark):
+    words = "arbor lumen porta granis celer vel omnia quis nunc trivio ferat"
+    rows = [(i, f"https://h{i}.example/x", f"Lorem ipsum {words}") for i in range(4)] + [(10, "https://z.example/", "Porta omnia quis nunc lumen arbor vel celer granis. Arbor porta"), (11, "https://z.example/y", "The porta of the arbor house opens at nine in the lumen hall of Celer")]
+    assert tuples(M.residues(recs(spark, rows)), "rec_id", "residue") == sorted([(i, "filler") for i in (0, 1, 2, 3, 10)], key=repr)
+
+
+def test_long_lines_are_judged_whole(spark):
+    long = "We use cookies " + "and more cookies " * 60
+    rows = [(1, "https://a.example/", f"{long}\nSorry, the requested page could not be found. " + "x" * 300 + "\nOwn words here and there, for once in a while, but many more of them than any message has, so that this page is one that speaks of itself at length. And it goes on and on, as pages do that have been written by people.")]
+    out = M.judged(recs(spark, rows)).collect()
+    assert out[0]["body"] == [2, 3]
+
+
+def test_vocabulary_by_join(spark):
+    """A vocabulary too large to send gives the same rows."""
+    from pyspark.sql import types as T  # noqa: F401
+
+    rows = spark.createDataFrame([("s", 1, 5, [1, 2], [0, 0], [3, 4], [1, 1], [11, 12], [11]), ("s", 2, 5, [1], [0], [3], [1], [12], [11])], "src string, rec_id long, host long, no array<int>, kind array<int>, prose array<int>, ntok array<int>, key array<bigint>, template array<bigint>")
+    common = spark.createDataFrame([(12,)], "key long")
+    for most in (10, 0):
+        assert tuples(M._with_vocabulary(rows, common, 3, most), "rec_id", "body") == [(1, []), (2, [])]
+        assert tuples(M._with_vocabulary(rows, common.limit(0), 3, most), "rec_id", "body") == [(1, [2]), (2, [1])]
