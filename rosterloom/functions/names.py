@@ -17,8 +17,9 @@ from rosterloom.functions.text import collapse_blanks, contains_any, word_tokens
 _ROLE = f"(?i)(?:{ROLE_WORDS})"
 _RANK = f"(?i)(?:{SENIORITY})"
 _HINTS = f"(?i)(?:{INTERNATIONAL_HINTS})"
-_LABELS = r"(?i)\b(?:e-?mail|mail|tel|telephone|phone|fax|contact|contacts|responsabile|role|title|name)\b[:\-]?"
-_CHANNELS = r"(?i)\b(?:e-?mail|mail|tel|telephone|phone|fax)\b[:\-]?"
+# whole words in any script: the borders of \b are those of ASCII words in some versions of Java
+_LABELS = r"(?i)(?<![\p{L}\p{N}_])(?:e-?mail|mail|tel|telephone|phone|fax|contact|contacts|responsabile|role|title|name)(?![\p{L}\p{N}_])[:\-]?"
+_CHANNELS = r"(?i)(?<![\p{L}\p{N}_])(?:e-?mail|mail|tel|telephone|phone|fax)(?![\p{L}\p{N}_])[:\-]?"
 #: Tokens of a name at most, and of the windows that are tried.
 _WINDOW = (2, 3, 4)
 
@@ -165,10 +166,8 @@ def strong_role(text: Column, keywords: Sequence[str] = (), pack: Pack = DEFAULT
 def boilerplate(line: Column, keywords: Sequence[str] = (), pack: Pack = DEFAULT) -> Column:
     """Whether a line is a menu, a notice or too long to say who someone is."""
     low, words = F.lower(line), F.size(word_tokens(line))
-    hits = sum((F.contains(low, F.lit(m)).cast("int") for m in BOILERPLATE), F.lit(0))
-    starts = F.lit(False)
-    for m in BOILERPLATE:
-        starts = starts | (low == m) | F.startswith(low, F.lit(m + " "))
+    hits = F.size(F.filter(_list(BOILERPLATE), lambda m: F.contains(low, m)))
+    starts = low.rlike("^(?:" + "|".join(BOILERPLATE) + ")(?: |$)")
     many = F.size(F.regexp_extract_all(line, F.lit(emails.EMAIL), F.lit(0))) > 1
     cuts = ((F.length(low) - F.length(F.replace(low, F.lit("|"), F.lit("")))) >= 2) | ((F.length(low) - F.length(F.replace(low, F.lit(" > "), F.lit("")))) >= 6)
     odd = starts | ((hits >= 1) & (words <= 4) & (F.length(line) <= 40)) | (hits >= 2) | (words >= 28) | (F.length(line) >= 220) | ((words >= 18) & (F.length(line) >= 120)) | many | cuts
@@ -246,8 +245,8 @@ def infer_name(email: Column, pack: Pack = DEFAULT) -> Column:
     local = F.regexp_replace(emails.local_part(F.lower(F.btrim(F.coalesce(email, F.lit(""))))), r"[+].*$", "")
     parts = F.filter(F.split(local, "[._-]+"), lambda p: p != "")
     usable = F.contains(email, F.lit("@")) & ~emails.generic_mailbox(email) & ~emails.local_part(email).rlike(r"\p{Nd}") & F.size(parts).between(2, 4) & F.forall(parts, lambda p: F.length(p) >= 2)
-    name = clean_name(F.array_join(F.transform(parts, F.initcap), " "), pack)
-    return F.when(usable & (name != "") & person_name(name, pack) & emails.matches_name(email, name, pack), name).otherwise("")
+    fits = lambda name: F.when((name != "") & person_name(name, pack) & emails.matches_name(email, name, pack), name).otherwise("")
+    return F.when(usable, _let(clean_name(F.array_join(F.transform(parts, F.initcap), " "), pack), fits)).otherwise("")
 
 
 def localpart_has(email: Column, terms: Sequence[str]) -> Column:

@@ -98,3 +98,17 @@ def compose_quota(df: DataFrame, group: str, kind: str, order: Sequence[Column],
     cap = F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))])
     kept = df.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= F.coalesce(F.try_element_at(cap, F.col(kind)), F.lit(0))).drop("__n")
     return kept.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("position") <= limit)
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
+    """The exact median of a column per group, from counts of its values: no group's rows are gathered.
+
+    Values are counted with map-side combining; running counts over the distinct values find the two in the middle.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*keys)
+    run = counts.withColumn("__to", F.sum("__n").over(w.orderBy(column))).withColumn("__all", F.sum("__n").over(w))
+    low, high = F.floor((F.col("__all") + 1) / 2), F.floor(F.col("__all") / 2) + 1
+    holds = lambda place: (F.col("__to") >= place) & (F.col("__to") - F.col("__n") < place)
+    middle = run.groupBy(*keys).agg(F.max(F.when(holds(low), F.col(column))).alias("__a"), F.max(F.when(holds(high), F.col(column))).alias("__b"))
+    return middle.select(*keys, ((F.col("__a") + F.col("__b")) / 2).cast("double").alias(name))

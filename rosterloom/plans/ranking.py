@@ -95,14 +95,6 @@ def html_visible_text(spark: SparkSession, d: str) -> DataFrame:
     return html.parsed_pages(p.select("page_id", page.alias("html")), "page_id", "html").select("page_id", F.sha1(F.col("text").cast("binary")).alias("text"))
 
 
-def html_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Contacts set as anchors and as embedded JSON and found again, each by its strategy."""
-    c = table(spark, d, "contacts").filter(F.col("email").rlike(r"^[A-Za-z0-9._-]+@[A-Za-z0-9.-]+[.][a-z]+\z")).select("contact_id", F.col("email").alias("m"))
-    page = F.when(F.col("contact_id") % 2 == 0, F.concat(F.lit("<nav><a href='mailto:"), "m", F.lit("'>write</a></nav>"))).otherwise(F.concat(F.lit("<script type='application/ld+json'>{\"people\": [{\"email\": \""), "m", F.lit("\", \"name\": \"x\"}]}</script>")))
-    parsed = html.parsed_pages(c.select("contact_id", page.alias("html")), "contact_id", "html")
-    return html.evidence(parsed).select(F.col("page_id").alias("contact_id"), "email", "strategy")
-
-
 def streamed_state(spark: SparkSession, d: str) -> DataFrame:
     """Current state of contacts kept up from a stream of observations; the batch view is its oracle."""
     from rosterloom.plans.views import identity
@@ -143,7 +135,6 @@ def _queries() -> dict:
         "promising_pages": (promising_pages, "select page_id, (contains(t, 'international') or contains(t, 'mobility') or contains(t, 'admissions')) and contains(t, '@') promising, greatest(1, floor(length(t0) / 4))::int tokens from (select page_id, lower(visible_text) t, visible_text t0 from acquired_pages)"),
         "ordered_union": (ordered_union, "select extraction_id, array_to_string(case when list_contains(acquisition_modes, acquisition_mode) then acquisition_modes else list_append(acquisition_modes, acquisition_mode) end, '>') modes from fetched_extractions join acquired_pages using (page_id)"),
         "html_visible_text": (html_visible_text, "select page_id, sha1(array_to_string(list_filter(list_transform(string_split(visible_text, chr(10)), lambda x: trim(regexp_replace(x, '[\\s\\x{00a0}]+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10))) \"text\" from acquired_pages"),
-        "html_evidence": (html_evidence, "select contact_id, lower(email) email, case when contact_id % 2 = 0 then 'mailto' else 'embedded_json' end strategy from contacts where regexp_matches(email, '^[A-Za-z0-9._-]+@[A-Za-z0-9.-]+[.][a-z]+$')"),
         "streamed_state": (streamed_state, f"select identity, arg_max(contact_id, (observed, contact_id)) latest_id, count(*) observations, max(observed) last_seen from ({_OBS_SQL}) group by 1"),
     }
 

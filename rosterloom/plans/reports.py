@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rosterloom.operators.records import sum_maps, top_per_group
+from rosterloom.operators.records import exact_median, sum_maps, top_per_group
 from rosterloom.session import table
 
 METHODS = ["A", "N", "R"]
@@ -40,7 +40,8 @@ def method_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def method_stats(spark: SparkSession, d: str) -> DataFrame:
     r = results(spark, d)
-    return r.groupBy("method").agg(F.sum("kept").alias("kept"), F.bround(F.sum("kept") / F.count("*"), 2).alias("kept_mean"), F.median("kept").alias("kept_median"), F.median("seconds").alias("seconds_median"), F.count("*").alias("n"))
+    g = r.groupBy("method").agg(F.sum("kept").alias("kept"), F.bround(F.sum("kept") / F.count("*"), 2).alias("kept_mean"), F.count("*").alias("n"))
+    return g.join(exact_median(r, ["method"], "kept", "kept_median"), "method").join(exact_median(r, ["method"], "seconds", "seconds_median"), "method")
 
 
 def success_rate(spark: SparkSession, d: str) -> DataFrame:

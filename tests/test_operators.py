@@ -4,9 +4,11 @@ import pytest
 from conftest import tuples
 from pyspark.sql import functions as F
 
-from rosterloom.functions import emails, text, urls
+from rosterloom.functions import emails, names, text, urls
+from rosterloom.functions.packs import DEFAULT, Pack
 from rosterloom.operators.components import components
-from rosterloom.operators.records import best_by, compose_quota, first_seen, fold_records, insert_ignore, line_context, resolve_redirects, top_per_group, unexpired, upsert
+from rosterloom.session import cut_lineage, intermediates
+from rosterloom.operators.records import exact_median, best_by, compose_quota, first_seen, fold_records, insert_ignore, line_context, resolve_redirects, top_per_group, unexpired, upsert
 from rosterloom.operators.skew import lookup_join
 
 
@@ -116,10 +118,18 @@ def test_email_functions(spark):
     assert one(spark, emails.normalized(F.lit(" mailto:Ann@Ex.org?x=1 "))) == "ann@ex.org"
     assert one(spark, emails.normalized(F.lit(None).cast("string"))) == ""
     assert one(spark, emails.generic_mailbox(F.lit("information@x.y"))) is True  # a prefix test
-    assert one(spark, emails.obfuscated_emails(F.lit("ann [at] x.org and bo (at) y (dot) net"))) == ["ann@x.org", "bo@y.net"]
+    assert one(spark, emails.normalized(F.lit("mailto:ann%40ex.org"))) == "ann@ex.org" and one(spark, emails.normalized(F.lit("a+b@ex.org"))) == "a+b@ex.org"
+    # a dot must be spelled out; "dot" may be a word between blanks
+    assert one(spark, emails.obfuscated_emails(F.lit("ann [at] x.org, bo (at) y (dot) net, cy at host dot org; meet at noon"))) == ["bo@y.net", "cy@host.org"]
     assert one(spark, emails.matches_name(F.lit("a.rossi@x.y"), F.lit("Anna Rossi"))) is True
+    assert one(spark, emails.matches_name(F.lit("info.rossi@x.y"), F.lit("Anna Rossi"))) is False  # nobody's mailbox
+    assert one(spark, emails.matches_name(F.lit("arossi@x.y"), F.lit("Rossi"))) is False and one(spark, emails.matches_name(F.lit(None).cast("string"), F.lit("Anna Rossi"))) is False
+    assert set(one(spark, emails.pattern_values(F.lit("Dr Anna de Rossi"))).values()) == {"anna.rossi", "a.rossi", "annarossi", "anna_rossi", "anna-rossi", "arossi", "rossi.anna"}
+    assert one(spark, emails.link_emails(F.lit("/f?x=1&recipient=ann%40ex.org"))) == ["ann@ex.org"]
+    assert one(spark, emails.smtp_status(F.lit(550), F.lit("on a Blocklist"))) == "blocked" and one(spark, emails.smtp_status(F.lit(None).cast("int"), F.lit(""))) == "error"
+    assert one(spark, emails.mail_provider(F.lit("a.mail.protection.OUTLOOK.com"))) == "outlook"
     assert one(spark, emails.well_formed(F.lit("a@b@c.d"))) is False
-    assert one(spark, emails.pattern_values(F.lit("Élodie Noël")))["flast"] == "enoel"
+    assert one(spark, emails.pattern_values(F.lit("Élodie Noël")))["flast"] == "énoël"
 
 
 def test_text_functions(spark):
@@ -128,3 +138,42 @@ def test_text_functions(spark):
     assert one(spark, text.fix_capitals(F.lit("ANNA de ROSSI"))) == "Anna de Rossi"
     assert one(spark, text.token_estimate(F.lit(""))) == 1
     assert one(spark, text.contains_any(F.lit("through"), ["hr"])) is True
+
+
+def test_names(spark):
+    clean = lambda t: one(spark, names.clean_name(F.lit(t).cast("string")))
+    assert clean("E-mail: anna.rossi@x.org | ANNA de ROSSI") == "Anna de Rossi" and clean("Tel. 12, High Street") == "" and clean("International Office") == "" and clean(None) == "" and clean("") == ""
+    assert clean("Klasulštel Francesca") == "Klasulštel Francesca"  # no label inside a word
+    person = lambda t: one(spark, names.person_name(F.lit(t).cast("string")))
+    assert person("Anna Rossi") and person("محمد علي") and not person("Anna") and not person("Anna Rossi 2") and not person("Head Director") and not person("x" * 200) and not person(None)
+    assert one(spark, names.infer_name(F.lit("anna.rossi@x.org"))) == "Anna Rossi" and one(spark, names.infer_name(F.lit("arossi@x.org"))) == ""
+    assert one(spark, names.clean_role(F.lit("Tel: Ufficio Relazioni internazionali"), ["relazioni"])) in ("relazioni", "international relations")
+    assert one(spark, names.best_role(F.array(F.lit("Home"), F.lit("Head of mobility"), F.lit("Director of mobility")))) == "international mobility"
+    context = one(spark, names.clean_context(F.lit("Main menu\nHead of mobility office\nAccept cookie\n" + "w " * 400)))
+    assert context == "Head of mobility office"
+    pack = DEFAULT.merged(Pack(name_particles=("van", "ter"), role_aliases=(("international relations", ("affaires",)),)))
+    assert pack.name_particles[-1] == "ter" and dict(pack.role_aliases)["international relations"] == ("international relations", "affaires")
+
+
+def test_exact_median(spark):
+    rows = [("a", float(v)) for v in (3, 1, 2, 2, 9)] + [("b", 1.0), ("b", 4.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    assert tuples(exact_median(df, ["k"], "v", "m")) == [("a", 2.0), ("b", 2.5)]
+
+
+def test_url_kinds(spark):
+    assert one(spark, urls.registrable(F.lit("a.b.com.au"))) == "b.com.au" and one(spark, urls.registrable(F.lit("a.b.example"))) == "b.example"
+    assert one(spark, urls.domain_match(F.lit("ox.co.uk"), F.lit("ox.ac.uk"))) is True and one(spark, urls.domain_match(F.lit("uw.edu"), F.lit("washington.edu"))) is False
+    assert one(spark, urls.family_signature(F.lit("https://x.org/en/offices/contact.html"))) == "x.org:offices::contact"
+    assert one(spark, urls.branch(F.lit("https://x.org/en/"), F.lit("https://x.org/offices/intl/a"))) == "offices/intl"
+    assert [v["reason"] for v in one(spark, urls.home_variants(F.lit("http://www.x.org/a")))][:3] == ["original", "upgrade_https", "strip_path_to_root"]
+
+
+def test_released_tables_are_gone(spark):
+    import os
+
+    with intermediates():
+        df = cut_lineage(spark.range(3))
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert df.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
