@@ -46,6 +46,20 @@ def slug(col: Column, limit: int = 80) -> Column:
     return F.substring(F.regexp_replace(F.btrim(col), "[^A-Za-z0-9]+", "_"), 1, limit)
 
 
+def safe_country(col: Column) -> Column:
+    """Letters only, in capitals, three at most."""
+    return F.substring(F.upper(F.regexp_replace(col, "[^A-Za-z]", "")), 1, 3)
+
+
+def latin_repaired(col: Column) -> Column:
+    """Text read as Latin-1 though written in UTF-8, decoded anew; text that isn't so is left as it is.
+
+    Only text with a sign of such reading, made of Latin-1 characters alone, whose bytes are valid UTF-8, is changed.
+    """
+    latin = F.when(col.rlike("[\u00c2\u00c3\u00e2]") & col.rlike("^[\\u0000-\\u00ff]*$"), F.encode(col, "ISO-8859-1").cast("string"))
+    return F.when(latin.isNotNull() & F.is_valid_utf8(latin), latin).otherwise(col)
+
+
 def fix_capitals(col: Column) -> Column:
     """Name tokens of capitals only (longer than two letters) with one capital."""
     one = lambda t: F.when((F.length(t) > 2) & (t == F.upper(t)) & (t != F.lower(t)), F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 1000)))).otherwise(t)

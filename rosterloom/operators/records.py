@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, rank: str | None = None) -> DataFrame:
-    """The first k rows of every group. Ranks below k are cut before the shuffle (WindowGroupLimit)."""
+    """The first k rows of every group, all for k of 0 or less. Ranks below k are cut before the shuffle (WindowGroupLimit)."""
+    if k <= 0 and not rank:
+        return df
+    k = k if k > 0 else 2**31 - 1
     name = rank or "__rank"
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     out = ranked.filter(F.col(name) <= k)

@@ -6,6 +6,8 @@ of the queries below are set from the tables (a contact or an institution each),
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -125,11 +127,15 @@ def typed(rows: DataFrame, pack: Pack = DEFAULT) -> DataFrame:
     return r.withColumn("t", F.explode(out)).select("page_id", "ord", "t.name", "t.mail", "t.candidate_type", "role", "context", "strategies", "flags")
 
 
-def pipeline(pages: DataFrame, llm: DataFrame | None = None, keywords: tuple[str, ...] = (), pack: Pack = DEFAULT) -> DataFrame:
-    """Typed candidates of pages (page_id, html)."""
+def pipeline(pages: DataFrame, llm: DataFrame | None = None, keywords: tuple[str, ...] = (), pack: Pack = DEFAULT, enrich: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Typed candidates of pages (page_id, html).
+
+    ``enrich`` is the one place for functions of one's own, such as calls of a model: assembled candidates in, the same
+    columns out. By default it changes nothing, so results are deterministic.
+    """
     parsed = cut_lineage(html.parsed_pages(pages, "page_id", "html"))
     rows = cut_lineage(evidence(parsed, llm, keywords, pack))
-    return typed(cleaned(assembled(rows), keywords, pack), pack)
+    return typed(cleaned(enrich(assembled(rows)), keywords, pack), pack)
 
 
 def for_filtering(rows: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterloom.plans import dashboards, discovery, extraction, files, ingest, matching, people, ranking, reports, scalars, views
+from rosterloom.plans import dashboards, discovery, extraction, files, ingest, lookups, matching, people, ranking, reports, scalars, views
 
-_ALL = views.QUERIES | reports.QUERIES | scalars.QUERIES | matching.QUERIES | ranking.QUERIES | people.QUERIES | discovery.QUERIES | ingest.QUERIES | dashboards.QUERIES | extraction.QUERIES | files.QUERIES
+_ALL = views.QUERIES | reports.QUERIES | scalars.QUERIES | matching.QUERIES | ranking.QUERIES | people.QUERIES | discovery.QUERIES | ingest.QUERIES | dashboards.QUERIES | extraction.QUERIES | files.QUERIES | lookups.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
