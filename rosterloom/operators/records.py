@@ -7,12 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterloom.session import cut_lineage
+
+
+#: As many rows as there are.
+ALL = 2**31 - 1
+
+
+def number_in_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Every row with its place in its group, from 1, however large a group is.
+
+    Rows are cut into ranges of (keys, order), so a large group lies in many of them; each piece of a group is numbered by
+    itself, and begins where the pieces before it end. Pieces of a group are at most as many as there are ranges. The
+    order must tell all rows of a group apart.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("__piece", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "__piece").agg(F.count("*").alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], F.col("__piece").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before"))
+    same = F.col("__piece") == F.col("__p")
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{n}"))
+    numbered = ranged.withColumn(name, F.row_number().over(Window.partitionBy("__piece", *keys).orderBy(*order)))
+    out = numbered.join(starts, same).withColumn(name, (F.col(name) + F.col("__before")).cast("int"))
+    return out.drop("__piece", "__p", "__before", *[f"__k{n}" for n in range(len(keys))])
+
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, rank: str | None = None) -> DataFrame:
     """The first k rows of every group, all for k of 0 or less. Ranks below k are cut before the shuffle (WindowGroupLimit)."""
-    if k <= 0 and not rank:
-        return df
-    k = k if k > 0 else 2**31 - 1
+    if k <= 0 or k >= ALL:
+        return number_in_groups(df, keys, order, rank) if rank else df
     name = rank or "__rank"
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     out = ranked.filter(F.col(name) <= k)

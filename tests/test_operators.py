@@ -8,7 +8,7 @@ from rosterloom.functions import emails, names, text, urls
 from rosterloom.functions.packs import DEFAULT, Pack
 from rosterloom.operators.components import components
 from rosterloom.session import cut_lineage, intermediates
-from rosterloom.operators.records import exact_median, best_by, compose_quota, first_seen, fold_records, insert_ignore, line_context, resolve_redirects, top_per_group, unexpired, upsert
+from rosterloom.operators.records import exact_median, number_in_groups, best_by, compose_quota, first_seen, fold_records, insert_ignore, line_context, resolve_redirects, top_per_group, unexpired, upsert
 from rosterloom.operators.skew import lookup_join
 
 
@@ -177,3 +177,15 @@ def test_released_tables_are_gone(spark):
         path = df.inputFiles()[0].removeprefix("file://")
         assert df.count() == 3 and os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_numbering_of_a_large_group(spark):
+    rows = [("hot" if n % 3 else f"g{n % 7}", (n * 37) % 1009, n) for n in range(3000)] + [(None, n, 5000 + n) for n in range(5)]
+    df = spark.createDataFrame(rows, "g string, v int, id int")
+    got = {(r["g"], r["id"]): r["place"] for r in number_in_groups(df, ["g"], [F.col("v").desc(), F.col("id")], "place").collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        for place, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])), 1):
+            want[(g, r[2])] = place
+    assert got == want
+    assert number_in_groups(df.limit(0), ["g"], [F.col("id")], "place").count() == 0
