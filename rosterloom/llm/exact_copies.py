@@ -52,9 +52,9 @@ def collapsed(df: DataFrame, id_col: str, unordered: list[str], ordered: list[st
     return copy_groups(keyed(df, id_col, unordered, ordered)).select("first_id", "copies")
 
 
-def collisions(groups: DataFrame) -> DataFrame:
-    """(hash, forms) of 128-bit hashes that stand for more than one canonical form (none are expected at any realistic size)."""
-    return groups.groupBy(F.substring("key", 1, 16).alias("hash")).agg(F.count("*").alias("forms")).filter("forms > 1")
+def collisions(groups: DataFrame, least: int = 2) -> DataFrame:
+    """(hash, forms, records) of 128-bit hashes that stand for ``least`` canonical forms or more (two are expected nowhere)."""
+    return groups.groupBy(F.substring("key", 1, 16).alias("hash")).agg(F.count("*").alias("forms"), F.sum("copies").alias("records")).filter(F.col("forms") >= least)
 
 
 def copies(df: DataFrame, id_col: str, unordered: list[str], ordered: list[str], hot_rows: int = 200_000) -> DataFrame:

@@ -32,3 +32,11 @@ def test_extra_columns_and_long_texts(spark):
     rows = [(1, "x" * 300000, "k", 1), (2, "X" * 300000, "q", 2)]
     df = spark.createDataFrame(rows, "contact_id long, name string, key string, copies int")
     assert tuples(E.copies(df, "contact_id", ["name"], []), "first_id", "copy_id") == [(1, 2)]
+
+
+def test_collisions_are_told(spark):
+    """Two forms of one 128-bit hash stay apart by the second hash, and are reported."""
+    keys = [(1, b"h" * 16 + b"a" * 8), (2, b"h" * 16 + b"b" * 8), (3, b"h" * 16 + b"a" * 8), (4, b"x" * 24)]
+    groups = E.copy_groups(spark.createDataFrame([(i, bytearray(k)) for i, k in keys], "rec_id long, key binary"))
+    assert tuples(groups, "first_id", "copies") == [(1, 2), (2, 1), (4, 1)]
+    assert tuples(E.collisions(groups), "forms", "records") == [(2, 3)]
