@@ -281,13 +281,20 @@ def matchable_sql(x: str, titles: bool = False) -> str:
     return f"case when len({kept}) >= 2 then {kept} else {ltok(x)} end"
 
 
+def _unlabelled(x: str, words: str) -> str:
+    """Text without whole label words, in any script. A match takes the character before it along, so neighbours need a second pass."""
+    for _ in range(2):
+        x = f"regexp_replace(regexp_replace({x}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(?:{words})[:-]', '\\1 ', 'g'), '(?i)(^|[^\\p{{L}}\\p{{N}}_])(?:{words})($|[^\\p{{L}}\\p{{N}}_])', '\\1 \\2', 'g')"
+    return x
+
+
 def clean_name_sql(source: str, key: str, x: str) -> str:
     """(key, name): the best run of two to four tokens, from a table of all runs."""
-    label = "(?i)\\b(?:e-?mail|mail|tel|telephone|phone|fax|contact|contacts|responsabile|role|title|name)\\b[:\\-]?"
+    words = "e-?mail|mail|tel|telephone|phone|fax|contact|contacts|responsabile|role|title|name"
     mail = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
     return f"""(
       with src as (select {key}, {flat(x)} t from {source}),
-      words as (select {key}, {tok(f"regexp_replace(regexp_replace(regexp_replace(t, '{mail}', ' ', 'g'), '[_|/]+', ' ', 'g'), '{label}', ' ', 'g')")} w from src where t <> '' and not {address_sql('t')} and not {office_sql('t')}),
+      words as (select {key}, {tok(_unlabelled(f"regexp_replace(regexp_replace(t, '{mail}', ' ', 'g'), '[_|/]+', ' ', 'g')", words))} w from src where t <> '' and not {address_sql('t')} and not {office_sql('t')}),
       runs as (select {key}, i, n, w[i:i + n - 1] r from (select {key}, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) i from words, (values (2), (3), (4)) z(n))),
       good as (select *, {visible_sql('r')} s from runs),
       fine as (select * from good where len(s) >= 2 and not {role_sql("array_to_string(r, ' ')")} and len(list_filter(s, lambda g: list_contains({_in(_P.name_stopwords)}, {BARE.format(t='g')}) or not {title_sql("trim(g, '.,')", True)})) = 0),
@@ -318,7 +325,8 @@ def score_sql(x: str) -> str:
 
 
 _MAILRE = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
-_ROLE_TEXT = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(coalesce(\"role\", ''), '[\\s\\x{{00a0}}]+', ' ', 'g'), ' '), '{_MAILRE}', ' ', 'g'), '(?i)\\b(?:e-?mail|mail|tel|telephone|phone|fax)\\b[:\\-]?', ' ', 'g'), '\\s*[:|]\\s*', ' ', 'g'), '[\\s\\x{{00a0}}]+', ' ', 'g'), ' ')"
+_ROLE_FLAT = f"regexp_replace(trim(regexp_replace(coalesce(\"role\", ''), '[\\s\\x{{00a0}}]+', ' ', 'g'), ' '), '{_MAILRE}', ' ', 'g')"
+_ROLE_TEXT = f"trim(regexp_replace(regexp_replace({_unlabelled(_ROLE_FLAT, 'e-?mail|mail|tel|telephone|phone|fax')}, '\\s*[:|]\\s*', ' ', 'g'), '[\\s\\x{{00a0}}]+', ' ', 'g'), ' ')"
 
 
 def _clean_role_sql(t: str) -> str:
