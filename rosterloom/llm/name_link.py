@@ -210,19 +210,28 @@ def _hash(*parts: str) -> int:
 
 
 def _mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    memo: dict[str, tuple | None] = {}
+    boxes: dict[str | None, tuple[str, str]] = {}
     for batch in batches:
-        cols: dict[str, list] = {n: [] for n in MENTION.names}
-        memo: dict[str, tuple | None] = {}
+        for known in (memo, boxes):
+            if len(known) > 200_000:
+                known.clear()
+        rows = []
+        insts = {inst: _hash(inst) for inst in batch["inst"].unique()}
         for rec, inst, name, email in zip(batch["id"], batch["inst"], batch["name"], batch["email"]):
             if name not in memo:
                 seen = "" if charset.repair(name)[0] else spelling(name)
                 memo[name] = (_hash(seen), folded_form(name)) if seen else None
-            if memo[name] is None:
+            form = memo[name]
+            if form is None:
                 continue
-            mail = mail_key(email)
-            for column, value in zip(cols.values(), (rec, _hash(inst), *memo[name], _hash(inst, mail) if mail else None, _letters(mail.partition("@")[0]) if mail else "")):
-                column.append(value)
-        yield pd.DataFrame({n: pd.array(v, dtype="Int64") if n == "box" else v for n, v in cols.items()}, columns=MENTION.names)
+            box = boxes.get(email)
+            if box is None:
+                mail = mail_key(email)
+                box = boxes[email] = (mail, _letters(mail.partition("@")[0]) if mail else "")
+            rows.append((rec, insts[inst], *form, _hash(inst, box[0]) if box[0] else None, box[1]))
+        cols = list(zip(*rows)) or [()] * len(MENTION.names)
+        yield pd.DataFrame({n: pd.array(v, dtype="Int64") if n == "box" else v for n, v in zip(MENTION.names, cols)}, columns=MENTION.names)
 
 
 def _parser(established: frozenset[str]):
@@ -316,13 +325,14 @@ def resolve(forms: DataFrame, max_rounds: int | None = None) -> DataFrame:
             asking = record.filter("size(gs) = 0") if ask == "bare" else record.join(grown, "label", "left_semi")
             # Every record that has grown, in this round or before, stands under all its spellings and initials combined
             # anew, as asked and as asking record; the keys of the others are as they were.
-            now = keys
+            asked = _keys(cut_lineage(asking))
+            near = asked.join(keys.select(F.col("label").alias("other"), "block"), "block").select("label", "other")
             if tops is not None:
                 rich = tops.select("label").distinct()
-                stale = tops.select(F.col("node").alias("label")).unionByName(rich).distinct()
-                now = keys.join(stale, "label", "left_anti").unionByName(_keys(record.join(rich, "label", "left_semi")))
-            b = now.select(F.col("label").alias("other"), "block")
-            near = _keys(cut_lineage(asking)).join(b, "block").filter("label <> other").select(F.least("label", "other").alias("a"), F.greatest("label", "other").alias("b")).distinct()
+                stale = tops.select(F.col("node").alias("other")).unionByName(rich.select(F.col("label").alias("other"))).distinct()
+                again = _keys(record.join(rich, "label", "left_semi")).select(F.col("label").alias("other"), "block")
+                near = near.join(stale, "other", "left_anti").select("label", "other").unionByName(asked.join(again, "block").select("label", "other"))
+            near = near.filter("label <> other").select(F.least("label", "other").alias("a"), F.greatest("label", "other").alias("b")).distinct()
         cut_lineage(near).createOrReplaceTempView(f"{views}_near")
         pairs = cut_lineage(spark.sql(f"""
           select a.label a, b.label b, arrays_overlap(a.gs, b.gs) or (size(a.gs) = 0 and size(b.gs) = 0) same, size(a.gs) = 0 a_bare from {views}_near n join {views}_records a on n.a = a.label join {views}_records b on n.b = b.label
@@ -368,9 +378,8 @@ def linked(rows: DataFrame) -> DataFrame:
     names = established_names(mentions)
     parsed = cut_lineage(mentions.select("form").distinct().mapInPandas(_parser(names), PARSED))
     forms = mentions.join(parsed, "form").withColumn("sure", F.col("kind").eqNullSafe("p") & (F.length("s") > 3) & F.contains("local", F.col("s"))).drop("form", "local")
-    short = cut_lineage(learned_forms(forms, names))
-    swapped = forms.filter("kind = 'p'").join(short, "g", "left").withColumn("g", F.coalesce("full", "g")).drop("full")
-    forms = forms.filter("kind <> 'p'").unionByName(swapped) if short.limit(1).count() else forms
+    short = cut_lineage(learned_forms(forms, names)).select(F.col("g").alias("given"), "full")
+    forms = forms.withColumn("given", F.when(F.col("kind") == "p", F.col("g"))).join(short, "given", "left").withColumn("g", F.coalesce("full", "g")).drop("given", "full")
     forms = cut_lineage(forms.withColumn("node", F.xxhash64("inst", "kind", "s", "g", "i")))
     labels = resolve(forms)
     return forms.select("id", "seen", "node").join(labels, "node", "left").select("id", "seen", F.coalesce("label", "node").alias("entity"))
